@@ -69,12 +69,19 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the index of the first word of each text (with a final total)."""
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
+
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word, and the index of the first word of each text (with a final total).
+
+    ``letters``: words are runs of letters and digits instead (all bytes over 0x7F count as letters).
+    """
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[buf]
+    inside = _LETTER[buf] if letters else ~_SPACE[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-SEED = 7
+SEED = 5
 
 
 def offset(seed: int = SEED) -> float:
