@@ -29,12 +29,22 @@ def sparse(rows: np.ndarray, terms: np.ndarray, n: int, dim: int) -> tuple[np.nd
     return np.searchsorted(at, np.arange(n + 1) * dim), (at % dim).astype(np.int32), counts.astype(np.float32)
 
 
-def word_terms(c: _text.Chunk, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the lower-cased runs of letters and digits, hashed to ``dim`` terms."""
+#: Lengths in bytes of the word beginnings that stand as terms beside the words.
+STEMS = (5, 6, 7, 8)
+
+
+def stem_terms(c: _text.Chunk, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hashed term) of every lower-cased run of letters and digits, and of its beginnings in longer words."""
     buf = _text.lower_ascii(c.buf)
     starts, ends, first = _text.word_bounds(buf, c.offsets, letters=True)
-    terms = (_text.span_hashes(buf, starts, ends) % np.uint64(dim)).astype(np.int64)
-    return sparse(_text.owners(first), terms, len(c), dim)
+    rows = _text.owners(first)
+    hashed = _text.Spans(buf)
+    where, terms = [rows], [hashed(starts, ends)]
+    for n in STEMS:
+        long = np.flatnonzero(ends - starts > n)
+        where.append(rows[long])
+        terms.append(hashed(starts[long], starts[long] + n) ^ np.uint64(0x5851F42D4C957F2D))
+    return np.concatenate(where), (np.concatenate(terms) % np.uint64(dim)).astype(np.int64)
 
 
 def _distinct(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -117,6 +117,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    n = max(n, 1)
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(12, (n - 1).bit_length())
@@ -132,14 +133,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+class Spans:
+    """64-bit polynomial hashes of byte spans of ``buf``, equal for equal bytes wherever they stand."""
+
+    def __init__(self, buf: np.ndarray) -> None:
+        self.total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=self.total[1:])
+        self.back = powers(_UNBASE, len(buf) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(starts) == 0:
+            return np.zeros(0, np.uint64)
+        return mix64((self.total[ends] - self.total[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans, equal for equal bytes wherever they stand."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=total[1:])
-    back = powers(_UNBASE, len(buf) + 1)[starts]
-    return mix64((total[ends] - total[starts]) * back + (ends - starts).astype(np.uint64))
+    return Spans(buf)(starts, ends)
 
 
 _GRAM = 0xD6E8FEB86659FD93 | 1

@@ -3,9 +3,10 @@
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the terms i that a text has.
 The pairwise part learns what the sum of single weights can't, such as an insult that
 counts only next to the mention of a group.  Terms are lower-cased runs of letters and
-digits, hashed; those whose share of toxic documents in the sample differs from the
-average by ``SIGNIFICANT`` standard errors enter the machine (at most ``TERMS``, the
-strongest), so that rare words of single documents aren't learnt by heart.  The machine
+digits and the beginnings of longer ones (compounds), hashed; those whose share of toxic
+documents in the sample exceeds the average by ``SIGNIFICANT`` standard errors enter the
+machine (at most ``TERMS``, the strongest), so that rare words of single documents aren't
+learnt by heart.  The machine
 is fitted on a bounded sample of labelled documents and sent to the tasks (TERMS x
 (FACTORS + 1) numbers); every document is scored as a whole.
 
@@ -34,9 +35,10 @@ TERMS = 2048
 SIGNIFICANT = 4.0
 LEAST_DOCUMENTS = 5
 FACTORS = 8
-STEPS = 250
-RATE = 0.05
-SHRINK = 1e-3
+STEPS = 500
+RATE = 0.1
+#: Penalties of single weights and of factors: what single terms explain is left to them.
+SHRINK, SHRINK_FACTORS = 1e-5, 1e-2
 THRESHOLD = 0.3
 
 
@@ -50,11 +52,10 @@ class Machine:
 
 def selected(c: _text.Chunk, slot: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
     """(row pointers, places) of the different machine terms of each text."""
-    buf = _text.lower_ascii(c.buf)
-    starts, ends, first = _text.word_bounds(buf, c.offsets, letters=True)
-    place = slot[(_text.span_hashes(buf, starts, ends) % np.uint64(DIM)).astype(np.int64)]
+    rows, hashed = _features.stem_terms(c, DIM)
+    place = slot[hashed]
     got = place >= 0
-    keys = np.unique(_text.owners(first)[got] * terms + place[got])
+    keys = np.unique(rows[got] * terms + place[got])
     return np.searchsorted(keys, np.arange(len(c) + 1) * terms), (keys % terms).astype(np.int64)
 
 
@@ -76,19 +77,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def train(pointers: np.ndarray, places: np.ndarray, y: np.ndarray, terms: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Full-batch Adam on the logistic loss with a quadratic penalty."""
+    """Full-batch Adam on the logistic loss with a quadratic penalty; single weights start at their terms' log-odds."""
     rows = np.repeat(np.arange(len(y)), np.diff(pointers))
     by_term = np.argsort(places, kind="stable")
     bounds = np.searchsorted(places[by_term], np.arange(terms + 1))
     base = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
-    params = [np.array([np.log(base / (1 - base))]), np.zeros(terms), np.random.default_rng(3).normal(0, 0.05, (terms, FACTORS))]
+    n, k = np.bincount(places, minlength=terms), np.bincount(places, y[rows], minlength=terms)
+    odds = np.where(n > 0, np.log((k + 0.5) / (n - k + 0.5)) - np.log(base / (1 - base)), 0)
+    params = [np.array([np.log(base / (1 - base))]), np.clip(odds, -4, 4), np.random.default_rng(3).normal(0, 0.05, (terms, FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, STEPS + 1):
         z, s = raw(pointers, places, float(params[0][0]), params[1], params[2])
         g = (sigmoid(z) - y) / len(y)
         gr = g[rows]
         gv = gr[:, None] * (s[rows] - params[2][places])
-        grads = [np.array([g.sum()]), _sums(gr[by_term], bounds) + SHRINK / 10 * params[1], _sums(gv[by_term], bounds) + SHRINK * params[2]]
+        grads = [np.array([g.sum()]), _sums(gr[by_term], bounds) + SHRINK * params[1], _sums(gv[by_term], bounds) + SHRINK_FACTORS * params[2]]
         for k, d in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.999 * second[k] + 0.001 * d * d
@@ -100,7 +103,8 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", s
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _text.chunks(batch.column(1)):
-                p, terms, _ = _features.word_terms(c, DIM)
+                rows, hashed = _features.stem_terms(c, DIM)
+                p, terms, _ = _features.sparse(rows, hashed, len(c), DIM)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[c.first : c.first + len(c)], batch.column(2)[c.first : c.first + len(c)], _features.lists(p, terms)],
                     names=["doc_id", "y", "terms"],
@@ -113,7 +117,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", s
         return None
     rate = min(max(pos / n, 1 / (n + 1)), n / (n + 1))
     seen = found.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    strength = f"abs(k - n * {rate}D) / sqrt(n * {rate * (1 - rate)}D)"
+    strength = f"(k - n * {rate}D) / sqrt(n * {rate * (1 - rate)}D)"
     best = seen.where(f"n >= {LEAST_DOCUMENTS} and {strength} >= {SIGNIFICANT}").orderBy(F.expr(strength).desc(), "term").limit(TERMS).collect()
     slot = np.full(DIM, -1, np.int32)
     for k, r in enumerate(sorted(r.term for r in best)):
