@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, passages, pii, quality, sharding, simhash, toxicity, vectors
+from . import decontam, licenses, mixing, passages, pii, quality, sharding, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embeddings": op3_embeddings,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
+        "op6_licenses": op6_licenses,
         "op7_toxicity": op7_toxicity,
         "op8_passages": op8_passages,
         "op9_pii": op9_pii,
