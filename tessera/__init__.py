@@ -1,0 +1 @@
+"""Personal-data discovery and compliance over document collections, in Spark."""
