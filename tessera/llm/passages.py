@@ -30,12 +30,12 @@ from . import _text
 from ._cluster import cut
 
 K = 6
-WINDOW = 10
+WINDOW = 12
 MIN_WORDS = 50
 IDENTITY = 0.8
 #: Of a chain: seeds at least, and the cost of a word of gap on either side.
 MIN_SEEDS = 2
-GAP = 0.05
+GAP = 0.1
 #: Words beyond a chain that the alignment may reach, and the loss at which it stops.
 MARGIN = 64
 DROP = 8
@@ -171,6 +171,23 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int]) -> tuple[i
     return at[0] - u, x + v, bt[0] - u, y + v, equal + int(before[:u].sum()) + int(after[:v].sum())
 
 
+def aligned(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """The alignments of a chain that are passages; a chain that isn't one as a whole is parted at its widest gap."""
+    out, todo = [], [(at, bt)]
+    while todo:
+        at, bt = todo.pop()
+        x0, x1, y0, y1, equal = align(a, b, at, bt)
+        if min(x1 - x0, y1 - y0) < MIN_WORDS:
+            continue
+        if equal >= IDENTITY * max(x1 - x0, y1 - y0):
+            out.append((x0, x1, y0, y1, equal))
+        elif len(at) > 1:
+            gaps = [max(at[i + 1] - at[i], bt[i + 1] - bt[i]) for i in range(len(at) - 1)]
+            k = gaps.index(max(gaps)) + 1
+            todo += [(at[:k], bt[:k]), (at[k:], bt[k:])]
+    return out
+
+
 def _tiles(lo: int, hi: int) -> tuple[int, int]:
     """A range with margins, rounded outwards to multiples of 32, so that like ranges are one slice."""
     return max(0, lo - MARGIN) // 32 * 32, -(-(hi + MARGIN) // 32) * 32
@@ -195,25 +212,56 @@ def chained(matches: DataFrame) -> DataFrame:
     return matches.mapInArrow(run, "doc_id long, a0 int, a1 int, src long, b0 int, b1 int, at array<int>, bt array<int>")
 
 
+#: Bits of the filter of documents: 8 MB, whatever the input; a filled filter only lets more documents through.
+FILTER_BITS = 26
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Three filter bits of each id."""
+    h = _text.mix64(ids.view(np.uint64))
+    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1) for s in (0, 19, 38)]).astype(np.int64)
+
+
+def document_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``ids(doc_id)``, put together on the executors word by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy().copy()).ravel())
+            word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    rows = ids.select("doc_id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def slices(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, lo, hi, words`` for the ``wanted(doc_id, lo, hi)``: 32 bits of hash a word, cut at the end of the text."""
+    """``doc_id, lo, hi, words`` for the ``wanted(doc_id, lo, hi)``: 32 bits of hash a word, cut at the end of the text.
+
+    Texts don't travel: documents that nothing is wanted of are filtered where they are read, the others send their
+    word hashes.
+    """
+    wanted = wanted.distinct()
+    sent = df.sparkSession.sparkContext.broadcast(document_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ranges = batch.column(0).to_pylist(), batch.column(2)
+            at = _places(batch.column(0).to_numpy().copy())
+            hit = ((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+            batch = batch.filter(pa.array(hit))
             for c in _text.chunks(batch.column(1)):
                 words, first = word_hashes(c)
-                words = (words >> np.uint64(32)).astype(np.uint32)
-                rows = []
-                for i in range(len(c)):
-                    own = words[first[i] : first[i + 1]]
-                    rows += [(ids[c.first + i], r["lo"], r["hi"], own[r["lo"] : r["hi"]].tobytes()) for r in ranges[c.first + i].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names=["doc_id", "lo", "hi", "words"])
+                raw = (words >> np.uint64(32)).astype(np.uint32).tobytes()
+                made = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.first : c.first + len(c)], made], names=["doc_id", "all"])
 
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    per_doc = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    own = df.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.join(per_doc, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, lo int, hi int, words binary").dropDuplicates(["doc_id", "lo", "hi"])
+    own = df.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    cut_out = F.expr("substring(all, lo * 4 + 1, (hi - lo) * 4)").alias("words")
+    return own.mapInArrow(run, "doc_id long, all binary").join(wanted, "doc_id").select("doc_id", "lo", "hi", cut_out).dropDuplicates(["doc_id", "lo", "hi"])
 
 
 def repeated(df: DataFrame) -> DataFrame:
@@ -234,8 +282,7 @@ def repeated(df: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, src, a0, b0, at, bt, aw, bw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x0, x1, y0, y1, equal = align(np.frombuffer(aw, np.uint32), np.frombuffer(bw, np.uint32), [x - a0 for x in at], [y - b0 for y in bt])
-                if min(x1 - x0, y1 - y0) >= MIN_WORDS and equal >= IDENTITY * max(x1 - x0, y1 - y0):
+                for x0, x1, y0, y1, equal in aligned(np.frombuffer(aw, np.uint32), np.frombuffer(bw, np.uint32), [x - a0 for x in at], [y - b0 for y in bt]):
                     out.append({"doc_id": doc, "start": x0 + a0, "end": x1 + a0, "src_doc_id": src, "src_start": y0 + b0, "src_end": y1 + b0, "equal_words": equal})
             yield pa.RecordBatch.from_pylist(out, schema)
 
