@@ -61,9 +61,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def sample(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``df`` with ``size, source_size, target, copies``: how often the mix takes each row."""
+    """``df`` with ``size, source_size, target, copies``: how often the mix takes each row.  Columns of those names are replaced."""
     rows = (
-        df.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        df.drop("size", "source_size", "target", "copies").withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")))
         .withColumn("__cls", _class(F.col("__size")).cast("long"))
         .withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))

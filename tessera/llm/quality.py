@@ -161,4 +161,5 @@ def digest(df: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> D
 def accepted(df: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     model = fit(df, labels, remainder("doc_id", parts) != held)
-    return score(df, model, df.columns).where(F.col("score") >= THRESHOLD).drop("score")
+    own = df.select(F.struct(*df.columns).alias("__row"), "text")
+    return score(own, model, ["__row"]).where(F.col("score") >= THRESHOLD).select("__row.*")
