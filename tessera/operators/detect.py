@@ -133,7 +133,7 @@ def ask(chunks: DataFrame, backend: Callable[[], Callable[[str], str]], types: t
         for pdf in batches:
             yield pdf.drop(columns="prompt").assign(answer=pdf["prompt"].map(one).astype(object))
 
-    return rows.mapInPandas(run, chunks.withColumn("answer", F.lit("")).schema)
+    return rows.mapInPandas(run, chunks.withColumn("answer", F.lit(None).cast("string")).schema)
 
 
 def parse_answers(answers: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
