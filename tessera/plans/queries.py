@@ -631,7 +631,7 @@ def pdf_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("raw", F.date_format(F.to_utc_timestamp(dates.pdf_date("raw"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-@query("reference_date_pick", f"select doc_id, case when doc_id % 4 = 0 then 'content_metadata' when doc_id % 4 = 1 then 'content_metadata' else 'file_mtime' end as source, case when doc_id % 4 = 0 then 'pdf:modDate' when doc_id % 4 = 1 then 'pdf:creationDate' else 'fs:mtime' end as field, case when doc_id % 4 = 0 then date '2020-01-01' when doc_id % 4 = 1 then date '2019-06-01' else date '2026-01-01' - (doc_id % 500)::int end as day from documents")
+@query("reference_date_pick", f"select doc_id, case when doc_id % 4 = 0 then 'content_metadata' when doc_id % 4 = 1 then 'content_metadata' else 'file_mtime' end as source, case when doc_id % 4 = 0 then 'pdf:modDate' when doc_id % 4 = 1 then 'pdf:creationDate' else 'fs:mtime' end as field, case when doc_id % 4 = 0 then date '2020-01-01' when doc_id % 4 = 1 then date '2019-06-01' else date '2026-01-01' - (doc_id % 500)::int end::varchar as day from documents")
 def reference_date_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = lambda s: F.lit(s).cast("timestamp")
     mod = F.when(F.col("doc_id") % 4 == 0, ts("2020-01-01")).otherwise(ts("1980-01-01"))
@@ -639,7 +639,7 @@ def reference_date_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = F.array(F.struct(F.lit("pdf:modDate").alias("field"), mod.alias("value")), F.struct(F.lit("pdf:creationDate").alias("field"), made.alias("value")))
     mtime = F.timestamp_seconds(F.unix_timestamp(now()) - (F.col("doc_id") % 500) * 86400)
     r = dates.reference_date(cands, mtime, now())
-    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.source", "r.field", F.to_date("r.value").alias("day"))
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.source", "r.field", F.to_date("r.value").cast("string").alias("day"))
 
 
 @query("upload_paths", "select page_id, case when page_id % 5 = 0 then null when page_id % 5 = 1 then null when page_id % 5 = 2 then 'a/b' || page_id || '.txt' when page_id % 5 = 3 then 'c/d.txt' else 'x.txt' end as path from pages")
