@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.phrases import map_categories
 from .operators import fuse, registry
 from .plans import jobs
-from .sources import files, llm
+from .sources import chat, files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -62,8 +62,8 @@ def main(argv: list[str] | None = None) -> str:
             return f"error: {bad.error}"
         return bad.text if a.what == "extract" else jobs.format_matches(fuse.ordered(jobs.scan_documents(row.select("document_id", "text"))))
     if a.what == "scan-folder":
-        chat = llm.from_env() if a.ai_rate else None
-        out = jobs.scan_folder(store, a.folder, full=a.full, prune=not a.no_prune, apply_rules=not a.no_apply_rules, backend=llm.backend(chat) if chat else None, ai_rate=a.ai_rate if chat else 0)
+        endpoint = chat.from_env() if a.ai_rate else None
+        out = jobs.scan_folder(store, a.folder, full=a.full, prune=not a.no_prune, apply_rules=not a.no_apply_rules, backend=chat.backend(endpoint) if endpoint else None, ai_rate=a.ai_rate if endpoint else 0)
         return "\n".join(f"{k}: {v}" for k, v in out.items())
     if a.what == "preview":
         return "\n".join(f"{k}: {v}" for k, v in jobs.preview(store, a.folder).items())

@@ -6,7 +6,8 @@ from tessera import __main__ as cli
 from tessera.functions import checks
 from tessera.functions.text import annotated
 from tessera.operators import detect, score
-from tessera.sources import corpora, generate, llm
+from tessera.sources import chat as ch
+from tessera.sources import corpora, generate
 
 
 def test_generated_corpus_is_valid(spark):
@@ -29,18 +30,18 @@ def test_chat():
         seen.append((url, json.loads(body)))
         return json.dumps({"message": {"content": "hi"}}).encode()
 
-    chat = llm.Chat("http://x/", "m", 9, send=send)
-    assert llm.backend(chat)()("q") == "hi" and chat.complete("q", "s") == "hi"
+    chat = ch.Chat("http://x/", "m", 9, send=send)
+    assert ch.backend(chat)()("q") == "hi" and chat.complete("q", "s") == "hi"
     assert seen[0][0] == "http://x/api/chat" and seen[0][1]["options"] == {"temperature": 0, "num_predict": 9}
     assert [m["role"] for m in seen[1][1]["messages"]] == ["system", "user"]
 
 
 def test_chat_is_off_by_default(monkeypatch):
-    monkeypatch.delenv(llm.HOST, raising=False)
-    assert llm.from_env() is None
-    monkeypatch.setenv(llm.HOST, "http://y")
-    monkeypatch.setenv(llm.CAP, "-1")
-    assert llm.from_env().cap == 1024
+    monkeypatch.delenv(ch.HOST, raising=False)
+    assert ch.from_env() is None
+    monkeypatch.setenv(ch.HOST, "http://y")
+    monkeypatch.setenv(ch.CAP, "-1")
+    assert ch.from_env().cap == 1024
 
 
 def test_command_line(spark, tmp_path):
