@@ -268,7 +268,8 @@ def repeated(df: DataFrame) -> DataFrame:
     """``doc_id, start, end, src_doc_id, src_start, src_end, equal_words`` of every repeated passage, in words."""
     own = seeds(df)
     firsts = own.where("opens").groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("src_pos"))
-    shared = firsts.where("src < last").select("h", "src", "src_pos")
+    # written first: the join then has a plain exchange on both sides, and a seed that very many places have can be split
+    shared = cut(firsts.where("src < last").select("h", "src", "src_pos"))
     matches = own.select("h", "doc_id", "pos").join(shared, "h").where("doc_id <> src")
     pairs = matches.groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
     found = cut(chained(pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))))
