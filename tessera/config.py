@@ -104,6 +104,11 @@ class Rule:
     base_confidence: float = 0.6
     flags: tuple[str, ...] = ("UNICODE",)
 
+    @property
+    def needs(self) -> str:
+        """Text that every match of a known pattern holds; looking for it first spares most texts the pattern."""
+        return _NEEDS.get(self.pattern, "")
+
     @property
     def java(self) -> str:
         """The pattern with its flags inline."""
@@ -111,6 +116,9 @@ class Rule:
         return f"(?{letters}){self.pattern}" if letters else self.pattern
 
 
+_NEEDS = {GENERIC_RULES[0][2]: "@", GENERIC_RULES[3][2]: ".", CUSTOM_RULES[0][2]: "756"}
+
+
 def rules(table=GENERIC_RULES) -> tuple[Rule, ...]:
     return tuple(Rule(*row) for row in table)
 

@@ -20,11 +20,12 @@ def normalize(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\A[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
-def spans(text: Column | str, pattern: str | Column) -> Column:
+def spans(text: Column | str, pattern: str | Column, needs: str = "") -> Column:
     """All leftmost non-overlapping matches as (start, end, text), half-open, in code points.
 
     The gaps between matches give the offsets: start of match i is the length of all gaps
-    up to it and all matches before it.  Texts without a match cost one search.
+    up to it and all matches before it.  Texts without a match cost one search, and that
+    only if they hold ``needs``, which every match must.
     """
     t = F.coalesce(as_column(text), F.lit(""))
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
@@ -40,7 +41,8 @@ def spans(text: Column | str, pattern: str | Column) -> Column:
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
     folded = F.aggregate(pairs, empty, step, lambda acc: F.filter(acc["out"], lambda s: s["end"] > s["start"]))
-    return F.when(F.rlike(t, p), folded).otherwise(F.array().cast(SPANS))
+    hit = F.contains(t, F.lit(needs)) & F.rlike(t, p) if needs else F.rlike(t, p)
+    return F.when(hit, folded).otherwise(F.array().cast(SPANS))
 
 
 ANNOTATION = r"(?s)\{\{(.*?):(.*?)\}\}"

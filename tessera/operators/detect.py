@@ -27,7 +27,7 @@ def candidate(start: Column, end: Column, text: Column, pii_type: Column, confid
 def rule_candidates(text: Column | str, rules: Iterable[config.Rule] = config.DEFAULT_RULES) -> Column:
     """``array<candidate>`` of all rules, rule by rule, each leftmost first: one expression, one scan of the table."""
     def of(r: config.Rule) -> Column:
-        return F.transform(tx.spans(text, r.java), lambda s: candidate(s["start"], s["end"], s["text"], F.lit(r.pii_type), F.lit(r.base_confidence), F.lit(f"regex.{r.rule_id}"), F.lit("regex")))
+        return F.transform(tx.spans(text, r.java, r.needs), lambda s: candidate(s["start"], s["end"], s["text"], F.lit(r.pii_type), F.lit(r.base_confidence), F.lit(f"regex.{r.rule_id}"), F.lit("regex")))
 
     made = [of(r) for r in rules]
     return F.concat(*made) if made else F.array().cast(f"array<{CANDIDATE}>")
