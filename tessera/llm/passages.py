@@ -11,6 +11,11 @@
 4. Chains are aligned word by word: between anchors along the diagonal, or from both sides
    of an insertion, and beyond both ends until mismatches outweigh matches.  Passages with
    ``MIN_WORDS`` words, of which ``IDENTITY`` agree, are reported.
+5. The first documents of a passage's seeds may hold parts of it only.  So where shared seeds
+   lie close enough for a verbatim run of MIN_WORDS words, every MIN_WORDS words point to the
+   first document that has all of them, and runs outside the passages of 4 are aligned too:
+   MIN_WORDS words that a document with a lesser doc_id also has always lie in passages.
+   Passages with edits in every MIN_WORDS words are found by 2 alone.
 
 Defined results: null and short texts have no passage; rows that share a doc_id count as
 one document, rows without one are left out; exact copies are passages as long as the
@@ -149,8 +154,11 @@ def _reach(same: np.ndarray) -> int:
     return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
 
 
-def align(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int]) -> tuple[int, int, int, int, int]:
-    """(start, end, other start, other end, equal words) of an alignment through the anchors ``at`` and ``bt``."""
+def align(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int], beyond: bool = True) -> tuple[int, int, int, int, int]:
+    """(start, end, other start, other end, equal words) of an alignment through the anchors ``at`` and ``bt``.
+
+    ``beyond``: it goes on before the first and behind the last anchor.
+    """
     equal, x, y = 0, at[0], bt[0]
     for i, j in [*zip(at, bt, strict=True), (at[-1] + K, bt[-1] + K)]:
         da, db = i - x, j - y
@@ -167,7 +175,7 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int]) -> tuple[i
     before = (a[at[0] - n : at[0]] == b[bt[0] - n : bt[0]])[::-1]
     n = min(len(a) - x, len(b) - y)
     after = a[x : x + n] == b[y : y + n]
-    u, v = _reach(before), _reach(after)
+    u, v = (_reach(before), _reach(after)) if beyond else (0, 0)
     return at[0] - u, x + v, bt[0] - u, y + v, equal + int(before[:u].sum()) + int(after[:v].sum())
 
 
@@ -181,6 +189,10 @@ def aligned(a: np.ndarray, b: np.ndarray, at: list[int], bt: list[int]) -> list[
             continue
         if equal >= IDENTITY * max(x1 - x0, y1 - y0):
             out.append((x0, x1, y0, y1, equal))
+            continue
+        x0, x1, y0, y1, equal = align(a, b, at, bt, beyond=False)  # what lies beyond agrees less
+        if min(x1 - x0, y1 - y0) >= MIN_WORDS and equal >= IDENTITY * max(x1 - x0, y1 - y0):
+            out.append((x0, x1, y0, y1, equal))
         elif len(at) > 1:
             gaps = [max(at[i + 1] - at[i], bt[i + 1] - bt[i]) for i in range(len(at) - 1)]
             k = gaps.index(max(gaps)) + 1
@@ -264,15 +276,91 @@ def slices(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, all binary").join(wanted, "doc_id").select("doc_id", "lo", "hi", cut_out).dropDuplicates(["doc_id", "lo", "hi"])
 
 
-def repeated(df: DataFrame) -> DataFrame:
-    """``doc_id, start, end, src_doc_id, src_start, src_end, equal_words`` of every repeated passage, in words."""
-    own = seeds(df)
-    firsts = own.where("opens").groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("src_pos"))
-    # written first: the join then has a plain exchange on both sides, and a seed that very many places have can be split
-    shared = cut(firsts.where("src < last").select("h", "src", "src_pos"))
-    matches = own.select("h", "doc_id", "pos").join(shared, "h").where("doc_id <> src")
-    pairs = matches.groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
-    found = cut(chained(pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))))
+def stretches(held: DataFrame) -> DataFrame:
+    """``doc_id, lo, hi``: the words around shared seeds ``held(doc_id, pos)`` that can hold a verbatim run of MIN_WORDS.
+
+    In such a run every WINDOW grams have a shared seed; in a stretch of one seed it may stand WINDOW - 1 places before.
+    """
+    grams = MIN_WORDS - K + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lo, hi = [], [], []
+            for doc, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.sort(np.array(at))
+                far = np.flatnonzero(np.diff(at) >= 2 * WINDOW)
+                for x, y in zip(at[np.append(0, far + 1)].tolist(), at[np.append(far, len(at) - 1)].tolist(), strict=True):
+                    x, y = max(0, x - WINDOW + 1), y - (grams - 2 * WINDOW + 1)  # the first and the last start of a run
+                    if x <= y:
+                        ids.append(doc)
+                        lo.append(x)
+                        hi.append(y + MIN_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "lo", "hi"])
+
+    return held.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).mapInArrow(run, "doc_id long, lo int, hi int")
+
+
+def windows(parts: DataFrame) -> DataFrame:
+    """``h, doc_id, pos`` for every MIN_WORDS words of slices.
+
+    Of words that repeat and overlap in a slice, the first and last of the stretch and every MIN_WORDS-th place: these hold all its words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, lo, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(raw, np.uint32).astype(np.uint64)
+                at = np.arange(max(0, len(words) - MIN_WORDS + 1))
+                if len(at) == 0:
+                    continue
+                h = _text.gram_hashes(words, at, at + MIN_WORDS)
+                if len(np.unique(h)) < len(h):
+                    kept: dict[int, int] = {}
+                    before: dict[int, int] = {}
+                    keep = np.zeros(len(h), bool)
+                    for i, x in enumerate(h.tolist()):
+                        if i - before.get(x, -MIN_WORDS) >= MIN_WORDS:
+                            keep[before.get(x, i)] = True
+                        if i - kept.get(x, -MIN_WORDS) >= MIN_WORDS:
+                            kept[x], keep[i] = i, True
+                        before[x] = i
+                    keep[list(before.values())] = True
+                    at, h = at[keep], h[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc)), pa.array((at + lo).astype(np.int32))], names=["h", "doc_id", "pos"])
+
+    return parts.select("doc_id", "lo", "words").mapInArrow(run, "h long, doc_id long, pos int")
+
+
+def verbatim(df: DataFrame, held: DataFrame) -> DataFrame:
+    """Verbatim runs of MIN_WORDS words with the first document that has them, in the columns of ``chained``."""
+    own = windows(cut(slices(df, cut(stretches(held)))))
+    firsts = own.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
+    shared = cut(firsts.where("f.doc_id < last").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("src_pos")))
+    pairs = own.join(shared, "h").where("doc_id <> src").groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, src, at, bt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, bt = np.array(at), np.array(bt)
+                order = np.lexsort((at, at - bt))
+                at, bt = at[order], bt[order]
+                # along one diagonal, without a gap that no window bridges
+                ends = np.flatnonzero((np.diff(at - bt) != 0) | (np.diff(at) > MIN_WORDS))
+                for i, j in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(at) - 1], strict=True):
+                    x, y = [int(at[i]), int(at[j]) + MIN_WORDS - K], [int(bt[i]), int(bt[j]) + MIN_WORDS - K]
+                    a, b = _tiles(x[0], x[1] + K), _tiles(y[0], y[1] + K)
+                    out.append({"doc_id": doc, "a0": a[0], "a1": a[1], "src": src, "b0": b[0], "b1": b[1], "at": x, "bt": y})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("a0", pa.int32()), ("a1", pa.int32()), ("src", pa.int64()), ("b0", pa.int32()), ("b1", pa.int32()), ("at", ints), ("bt", ints)])
+    rows = pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))
+    return rows.mapInArrow(run, "doc_id long, a0 int, a1 int, src long, b0 int, b1 int, at array<int>, bt array<int>")
+
+
+def passages(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages of the chains ``found``, with the columns of ``repeated``."""
     wanted = found.select("doc_id", F.col("a0").alias("lo"), F.col("a1").alias("hi")).unionByName(found.select(F.col("src").alias("doc_id"), F.col("b0").alias("lo"), F.col("b1").alias("hi")))
     parts = cut(slices(df, wanted))
     a = parts.select("doc_id", F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.col("words").alias("aw"))
@@ -289,3 +377,18 @@ def repeated(df: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("src_doc_id", pa.int64()), ("src_start", pa.int32()), ("src_end", pa.int32()), ("equal_words", pa.int32())])
     return both.mapInArrow(run, "doc_id long, start int, end int, src_doc_id long, src_start int, src_end int, equal_words int").distinct()
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """``doc_id, start, end, src_doc_id, src_start, src_end, equal_words`` of every repeated passage, in words."""
+    own = seeds(df)
+    firsts = own.where("opens").groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("src_pos"))
+    # written first: the join then has a plain exchange on both sides, and a seed that very many places have can be split
+    shared = cut(firsts.where("src < last").select("h", "src", "src_pos"))
+    held = cut(own.select("h", "doc_id", "pos").join(shared, "h").drop("h"))
+    pairs = held.where("doc_id <> src").groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
+    found = cut(chained(pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))))
+    out = cut(passages(df, found))
+    within = out.select(F.col("doc_id").alias("d"), "start", "end")
+    runs = cut(verbatim(df, held).join(within, F.expr(f"doc_id = d and start <= at[0] and end >= at[1] + {K}"), "left_anti"))
+    return out if runs.isEmpty() else out.unionByName(passages(df, runs)).distinct()

@@ -355,6 +355,48 @@ def test_passages_star(spark):
     assert len(got) == 59 and {r.src_doc_id for r in got} == {0}
 
 
+def test_passages_behind_partial_holders(spark):
+    """The first documents of all seeds hold parts of the passage only, too short to be passages."""
+    rng = random.Random(11)
+    p = words(rng, 60).split()
+    parts = [(5, p[:40]), (6, p[20:]), (7, p[5:45]), *[(i, p) for i in range(100, 104)]]
+    docs = [(i, words(rng, 30) + " " + " ".join(x) + " " + words(rng, 30)) for i, x in parts]
+    docs += [(200 + i, words(rng, 30) + " " + " ".join(p[:17]) + " " + words(rng, 30)) for i in range(20)]
+    got = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_doc_id, r.start, r.end, r.src_start, r.equal_words) for r in got} == {(i, 100, 30, 90, 30, 60) for i in (101, 102, 103)}
+
+
+def test_passages_of_words_as_brute_force(spark):
+    """Every 50 words that a document with a lesser doc_id has lie in reported passages, whatever holds parts of them."""
+    rng = random.Random(12)
+    pool = [words(rng, 150).split() for _ in range(4)]
+    docs = []
+    for i in range(80):
+        text = words(rng, rng.randrange(20)).split()
+        for _ in range(3):
+            p, a = rng.choice(pool), rng.randrange(100)
+            text += p[a : a + rng.randrange(20, 90)] + words(rng, rng.randrange(1, 10)).split()
+        docs.append((i, text))
+    docs += [(80, ["of"] * 52), (81, words(rng, 20).split() + ["of"] * 79), (82, ["of", "so"] * 60), (83, words(rng, 9).split() + ["of", "so"] * 99)]
+    got = passages.repeated(spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")).collect()
+    seen = set()
+    for i, text in docs:
+        held = [tuple(text[a : a + 50]) for a in range(len(text) - 49)]
+        inside = [set(range(r.start, r.end)) for r in got if r.doc_id == i]
+        for a, w in enumerate(held):
+            assert w not in seen or set(range(a, a + 50)) <= set().union(*inside)
+        seen |= set(held)
+
+
+def test_aligned_keeps_the_core():
+    """What lies beyond the anchors agrees too little for a passage; the words between them are one."""
+    a = np.arange(170, dtype=np.uint32)
+    b = a.copy()
+    b[:60:3] += 1000
+    b[112::3] += 1000
+    assert passages.aligned(a, b, [60, 104], [60, 104]) == [(60, 110, 60, 110, 50)]
+
+
 # --- personal data ----------------------------------------------------------------------
 
 
