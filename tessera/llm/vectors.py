@@ -11,8 +11,10 @@
    in double precision.  A cluster of many blocks is searched block by block.
 4. A pair is counted in the first cluster that both have, so nothing is counted twice,
    and a shard returns counts and a spanning forest of its links, never all pairs.
-5. Audit: a fixed sample of queries is compared exactly with all vectors.  If the graph
-   found less than ``RECALL`` of their links, the search is repeated with twice the overlap.
+5. Audit: queries are drawn and compared exactly with all vectors until ``AUDIT`` of them
+   have links, or all are drawn.  If the graph found less than ``RECALL`` of these links, the
+   search is repeated with twice the overlap, and after the last one all blocks of all
+   vectors are compared exactly.
 
 Defined results: null, empty, zero or non-finite vectors and rows without a vec_id link
 with nothing; vectors of different lengths don't link; repeated rows of one vec_id count
@@ -37,8 +39,10 @@ SAMPLE, CLUSTERS, AIM, BLOCK = 8192, 2048, 400, 1024
 OVERLAP = 3
 #: Of the graph: candidates, neighbours after pruning, the pruning's slack, width of the beam.
 CANDIDATES, DEGREE, ALPHA, BEAM = 40, 16, 1.2, 24
-#: Audited queries and the share of their links that must be found.
+#: Audited queries that have links and the share of these that must be found.
 AUDIT, RECALL = 64, 0.95
+#: Queries that one pass over all vectors compares, at most; the overlap after which the comparison is exact.
+DRAWN, LAST = 4096, 32
 
 
 def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +235,7 @@ def _built(table: pa.Table) -> pa.Table:
     return pa.table({"rep": rep, "near": pa.array([rep[x] for x in adj], pa.list_(pa.int64()))})
 
 
-def _searched(cosine: float):
+def _searched(cosine: float, walk: bool):
     def run(table: pa.Table) -> pa.Table:
         empty = pa.table({"rep": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         shard = table["shard"][0].as_py()
@@ -255,7 +259,10 @@ def _searched(cosine: float):
         own = np.array([place.get(x, -1) for x in ask.tolist()], np.int64)
         counts, a, b = np.zeros(len(ask), np.int64), [], []
         for i in range(0, len(ask), BLOCK):
-            x, y = search(vec, pointers, flat, q[i : i + BLOCK], own[i : i + BLOCK], cosine)
+            if walk:
+                x, y = search(vec, pointers, flat, q[i : i + BLOCK], own[i : i + BLOCK], cosine)
+            else:
+                x, y = np.nonzero(q[i : i + BLOCK] @ vec.T >= cosine)
             x = x + i
             for p, r in zip(x.tolist(), y.tolist(), strict=True):
                 # a pair counts in the first cluster that both have
@@ -275,50 +282,76 @@ def _searched(cosine: float):
     return run
 
 
-def linked(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int, cosine: float) -> DataFrame:
-    """``rep, n`` (links of a class to other classes, copies counted) and, in other rows, ``u, v`` of a spanning forest."""
+def linked(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int, cosine: float, walk: bool = True) -> DataFrame:
+    """``rep, n`` (links of a class to other classes, copies counted) and, in other rows, ``u, v`` of a spanning forest.
+
+    Without ``walk`` the blocks of a cluster are compared exactly.
+    """
     members = cut(assigned(groups, middle, overlap))
     spread = members.select("*", F.explode("clusters").alias("shard"))
     sizes = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spread = spread.join(F.broadcast(cut(sizes)), "shard").withColumn("block", F.expr("pmod(xxhash64(rep, 77), blocks)"))  # sizes: a row a cluster
+    near = F.lit(None).cast("array<long>").alias("near")
     built = spread.select("shard", "block", "rep", "vec").groupBy("shard", "block").applyInArrow(_built, "rep long, near array<long>")
     united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    nodes = spread.join(cut(united), "rep").select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", "near")
-    asks = spread.select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", F.lit(None).cast("array<long>").alias("near"))
+    nodes = spread.join(cut(united), "rep") if walk else spread.withColumn("near", F.expr("cast(array() as array<long>)"))
+    nodes = nodes.select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", "near")
+    asks = spread.select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", near)
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     as_node = nodes.select("shard", F.col("block").alias("j"), other.alias("i"), "rep", "mult", "vec", "clusters", "near", F.lit(True).alias("node"))
     as_query = asks.select("shard", other.alias("j"), F.col("block").alias("i"), "rep", "mult", "vec", "clusters", "near", F.lit(False).alias("node"))
     tasks = as_node.unionByName(as_query.select(as_node.columns))
-    return tasks.groupBy("shard", "i", "j").applyInArrow(_searched(cosine), "rep long, n long, u long, v long")
+    return tasks.groupBy("shard", "i", "j").applyInArrow(_searched(cosine, walk), "rep long, n long, u long, v long")
 
 
-def exact(groups: DataFrame, cosine: float) -> dict[int, int]:
-    """For the audited classes the true number of links, by comparison with all vectors."""
-    sent = groups.orderBy(F.xxhash64("rep", F.lit(1))).limit(AUDIT).select("rep", "vec").collect()
-    reps = np.array([r.rep for r in sent])
-    by_size = {size: (np.flatnonzero([len(r.vec) == size for r in sent]), np.stack([np.frombuffer(r.vec) for r in sent if len(r.vec) == size])) for size in {len(r.vec) for r in sent}}
+def exact(groups: DataFrame, asked: list, cosine: float) -> dict[int, int]:
+    """For the classes ``asked(rep, vec)`` the true number of links, by comparison with all vectors."""
+    reps = np.array([r.rep for r in asked])
+    sizes = np.array([len(r.vec) for r in asked])
+    by_size = {int(size): (np.flatnonzero(sizes == size), np.stack([np.frombuffer(r.vec) for r in asked if len(r.vec) == size])) for size in np.unique(sizes)}
+    sent = groups.sparkSession.sparkContext.broadcast((reps, by_size))  # at most DRAWN vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, by_size = sent.value
         total = np.zeros(len(reps), np.int64)
         for batch in batches:
-            for rep, mult, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(raw) in by_size:
-                    at, q = by_size[len(raw)]
-                    total[at] += mult * ((q @ np.frombuffer(raw) >= cosine) & (reps[at] != rep))
+            rep, mult, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            lens = np.array([len(x) for x in raw])
+            for size, (at, q) in by_size.items():
+                rows = np.flatnonzero(lens == size)
+                for i in range(0, len(rows), 512):
+                    part = rows[i : i + 512]
+                    near = q @ np.stack([np.frombuffer(raw[x]) for x in part]).T >= cosine
+                    total[at] += (near & (reps[at][:, None] != rep[part])) @ mult[part]
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total)], names=["rep", "n"])
 
     rows = groups.select("rep", "mult", "vec").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()
     return {r.rep: r.n for r in rows}
 
 
-def audit(groups: DataFrame, found: DataFrame, cosine: float) -> float:
+def audited(groups: DataFrame, cosine: float) -> dict[int, int]:
+    """The true number of links of AUDIT classes that have links, or of all that have if there are fewer."""
+    ranked = groups.select("rep", "vec", F.xxhash64("rep", F.lit(1)).alias("rank"))
+    true: dict[int, int] = {}
+    last, n = None, AUDIT
+    while len(true) < AUDIT:
+        rest = ranked if last is None else ranked.where((F.col("rank") > last.rank) | ((F.col("rank") == last.rank) & (F.col("rep") > last.rep)))
+        asked = rest.orderBy("rank", "rep").limit(n).collect()
+        if not asked:
+            break
+        links = exact(groups, asked, cosine)
+        true |= {r.rep: links[r.rep] for r in asked if links[r.rep]}
+        last, n = asked[-1], min(4 * n, DRAWN)
+    return dict(list(true.items())[:AUDIT])
+
+
+def recall(found: DataFrame, true: dict[int, int]) -> float:
     """Share of the true links of the audited classes that were found."""
-    true = exact(groups, cosine)
-    if not sum(true.values()):
-        return 1.0
+    if not true:
+        return 1.0  # all classes were drawn, none has a link
     got = {r.rep: r.n for r in found.where(F.col("rep").isin(list(true))).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
     # a link counts once however many copies stand behind it
-    return sum(min(got.get(k, 0), n) / n for k, n in true.items() if n) / sum(n > 0 for n in true.values())
+    return sum(min(got.get(k, 0), n) / n for k, n in true.items()) / len(true)
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
@@ -326,12 +359,14 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, overlap: int = OVERLA
     rows, groups = classes(df)
     found = None
     if not groups.isEmpty():
-        middle = centres(groups)
-        while True:
-            found = cut(linked(groups, middle, overlap, cosine))
-            if audit(groups, found, cosine) >= RECALL or overlap >= 32:
+        middle, true = centres(groups), audited(groups, cosine)
+        found = cut(linked(groups, middle, overlap, cosine))
+        while recall(found, true) < RECALL:
+            if overlap >= LAST:  # one cluster a length, all its blocks
+                found = cut(linked(groups, {size: c[:1] for size, c in middle.items()}, 1, cosine, walk=False))
                 break
             overlap *= 2
+            found = cut(linked(groups, middle, overlap, cosine))
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     n = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))

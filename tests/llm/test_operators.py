@@ -459,6 +459,26 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_vectors_that_the_shards_part(spark, monkeypatch):
+    """Few classes have links, and no shard has both ends of one: the audit sees it, and the comparison is exact."""
+    real = vectors.assigned
+
+    def parted(groups, middle, overlap):
+        out = real(groups, middle, overlap)
+        return out if all(len(c) == 1 for c in middle.values()) else out.withColumn("clusters", F.expr("array(51200000 + rep % 4)"))
+
+    monkeypatch.setattr(vectors, "assigned", parted)
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 64))
+    x[501] = x[500] + rng.standard_normal(64) * 0.01
+    x[703] = x[701] + rng.standard_normal(64) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), overlap=32).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(v) for i, v in brute_vectors(rows).items()}
+    assert {i for i, r in got.items() if not r.kept} == {501, 703} and got[703].component_id == 701
+
+
 def test_robust_pruned_graph_finds_neighbours():
     rng = np.random.default_rng(0)
     v = rng.standard_normal((400, 24))
