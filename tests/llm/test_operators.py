@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, licenses, mixing, passages, pii, quality, queries, sharding, simhash, toxicity, vectors
+from tessera.llm import _text, decontam, licenses, mixing, passages, pii, quality, queries, sharding, simhash, toxicity, vectors
 
 from .test_text import brute_fingerprint
 
@@ -265,22 +265,71 @@ def test_quality_votes_are_exact(spark):
         assert s == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-4)
 
 
-def test_toxicity_learns_pairs(spark):
-    """Neither word alone is toxic, both together are."""
-    rng = random.Random(4)
+def pair_case(spark, toxic, n=1200, share=0.5, seed=4):
+    rng = random.Random(seed)
     docs, labels = [], []
-    for i in range(1200):
-        a, b = rng.random() < 0.4, rng.random() < 0.4
+    for i in range(n):
+        a, b = rng.random() < share, rng.random() < share
         t = words(rng, 20, 300).split() + ["insult"] * a + ["group"] * b
         rng.shuffle(t)
         docs.append((i, " ".join(t)))
-        labels.append((i, 1, int(a and b)))
-    d, la = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        labels.append((i, 1, int(toxic(a, b))))
+    return docs, labels, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a != b, lambda a, b: a and not b], ids=["both", "one of two", "unless"])
+def test_toxicity_learns_pairs(spark, toxic):
+    _, labels, d, la = pair_case(spark, toxic)
     got = {r.doc_id: r for r in toxicity.digest(d, la).collect()}
     held = [(y, got[i].predicted) for i, _, y in labels if got[i].held_out]
     assert np.mean([y == p for y, p in held]) > 0.97
 
 
+def test_toxicity_by_factors_and_by_a_plain_loop(spark):
+    """No sum of single weights tells one of two words from both; every score equals the double loop over pairs."""
+    docs, labels, d, la = pair_case(spark, lambda a, b: a != b)
+    m = toxicity.fit(d, la, quality.remainder("doc_id", 4) != 2)
+    got = {r.doc_id: r.score for r in toxicity.score(d, m, ["doc_id"]).collect()}
+    flat = {r.doc_id: r.score for r in toxicity.score(d, toxicity.Machine(m.slot, m.w0, m.w, m.v * 0), ["doc_id"]).collect()}
+    y = {i: v for i, _, v in labels}
+    assert np.mean([(s >= 0.3) == y[i] for i, s in flat.items()]) < 0.8
+    for i, text in docs[:200]:
+        terms = set()
+        for w in text.split():
+            raw = w.encode()
+            for part, salt in [(raw, 0)] + [(raw[:k], 0x5851F42D4C957F2D) for k in (5, 6, 7, 8) if len(raw) > k]:
+                (h,) = _text.span_hashes(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)])).tolist()
+                terms.add(int(m.slot[(h ^ salt) % toxicity.DIM]))
+        terms = sorted(terms - {-1})
+        z = m.w0 + sum(m.w[t] for t in terms)
+        for k, t in enumerate(terms):
+            for u in terms[:k]:
+                z += m.v[t] @ m.v[u]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_rare_pairs():
+    """A pair in 0.3 % of the rows, each word in 5 %, two such pairs crosswise."""
+    rng = np.random.default_rng(6)
+    x = rng.random((20_000, 300)) < 0.05
+    y = ((x[:, 0] & x[:, 2]) | (x[:, 1] & x[:, 3])).astype(float)
+    picked = toxicity.chosen(x.astype(np.uint8), y, np.zeros(0, np.int64))
+    assert {0, 1, 2, 3} <= set(picked.tolist())
+    w0, w, v = toxicity.machine(x[:, picked], y)
+    sure = toxicity.sigmoid(toxicity.dense_raw(x[:, picked].astype(np.float32), w0, w, v)) >= 0.3
+    assert (sure == (y == 1)).mean() > 0.999 and sure[y == 1].mean() > 0.98
+
+
+def test_learnt_documents_that_repeat_an_id(spark):
+    """One labelled id stands in 300 rows: it counts once, and the other documents are learnt too."""
+    docs, labels = labelled(spark, lambda rng, t: t + " vile")
+    again = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(300)).select("doc_id", "text"))
+    m = quality.fit(again, labels, quality.remainder("doc_id", 5) != 0, size=100)
+    assert len(m.labels) == 100 and 0.6 < m.labels.mean() < 0.9
+    t = toxicity.fit(again, labels, quality.remainder("doc_id", 4) != 2, size=100)
+    assert len(t.w) >= 1
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     docs, labels = labelled(spark, lambda rng, t: t + " vile")
     got = toxicity.digest(odd, labels).collect()
