@@ -203,7 +203,7 @@ def test_decontamination(spark, odd, empty):
     docs = [(1, words(rng, 50) + " " + item.upper() + ", " + words(rng, 20)), (2, words(rng, 9) + "\n" + " ".join(fuzzy)), (3, words(rng, 80)), (4, " ".join(item.split()[:11]))]
     tests = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (None, item), (10, item)], "item_id long, text string")
     got = decontam.digest(spark.createDataFrame(docs, "doc_id long, text string"), tests).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (1, 10), (2, 7), (2, 10)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, 2) for i in (7, 10, None)}
     one = next(r for r in got if (r.doc_id, r.item_id) == (1, 7))
     assert (one.start, one.end, one.matched) == (50, 80, 30)
     assert next(r for r in got if (r.doc_id, r.item_id) == (2, 7)).matched >= 22
@@ -211,6 +211,62 @@ def test_decontamination(spark, odd, empty):
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert decontam.digest(empty, tests).count() == 0
     assert decontam.digest(odd, tests.limit(0)).count() == 0
+    # the odd rows against an item that two of them hold, one without an id that is a whole text, and one that no text is
+    odd_tests = spark.createDataFrame([(1, odd.where("doc_id = 7").first().text), (None, "ONE!"), (3, "no id")], "item_id long, text string")
+    found = sorted(decontam.digest(odd, odd_tests).collect(), key=str)
+    assert [(r.doc_id, r.item_id, r.start, r.end, r.matched) for r in found] == [(4, None, 0, 1, 1), (7, 1, 0, 80, 80)]
+    assert sorted(r.doc_id or 0 for r in decontam.clean(odd, odd_tests).collect()) == sorted([0, 0, 1, 2, 3, 5, 6, 8, 8, 8])
+
+
+def brute_overlaps(docs, items):
+    """Every shift of every document and item, every maximal run by its definition."""
+    import re
+
+    tok = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (t or "").lower())
+    out = set()
+    for d, text in docs:
+        a = tok(text)
+        for i, item in items:
+            b = tok(item)
+            if len(b) < decontam.MIN_MATCH:
+                if b and (len(b) >= decontam.LEAST or a == b):
+                    out |= {(d, i, x, x + len(b), len(b)) for x in range(len(a) - len(b) + 1) if a[x : x + len(b)] == b}
+                continue
+            for shift in range(-len(b), len(a)):
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                todo = [(lo, hi)]
+                while todo:  # the best run of a stretch, then what is left and right of it
+                    x, y = todo.pop()
+                    same = [b[k] == a[k + shift] for k in range(x, y)]
+                    best = max(((sum(1 if s else -decontam.PENALTY for s in same[p:q]), -p, -q) for p in range(len(same)) if same[p] for q in range(p + 1, len(same) + 1) if same[q - 1]), default=None)
+                    if best is None:
+                        continue
+                    p, q = x - best[1], x - best[2]
+                    n = sum(b[k] == a[k + shift] for k in range(p, q))
+                    if n >= decontam.MIN_MATCH:
+                        out.add((d, i, p + shift, q + shift, n))
+                    todo += [(x, p), (q, y)]
+    return out
+
+
+def test_decontamination_as_brute_force(spark):
+    rng = random.Random(14)
+    items = [(i, words(rng, n, 800)) for i, n in enumerate([3, 5, 11, 12, 15, 30, 45])] + [(7, None), (None, words(rng, 9, 800))]
+    docs = []
+    for d in range(40):
+        text = words(rng, rng.randrange(12), 800).split()
+        for _ in range(2):
+            t = (rng.choice(items)[1] or "").split()
+            x = rng.randrange(3)
+            part = t[x:] if rng.random() < 0.3 else t
+            text += ["changed" if rng.random() < 0.05 and len(t) > 20 else w for w in part] + words(rng, rng.randrange(1, 15), 800).split()
+        docs.append((d, " ".join(text)))
+    two = items[6][1].split()
+    docs += [(50, " ".join(two[:16] + ["x"] * 12 + two[28:])), (51, items[0][1]), (52, None)]
+    got = decontam.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_overlaps(docs, items)
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sum(w[0] == 50 for w in want) == 2 and any(w[1] == 2 for w in want) and any(w[1] is None for w in want)
 
 
 def test_decontamination_in_slices(spark, monkeypatch):
