@@ -15,10 +15,12 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used.
+    Only where the setting is absent and driver and executors are one process (tests) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -26,29 +28,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """(the path, its file system) for the JVM."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends here, lost executors cost a read."""
+    """Write the rows to the shared folder and read them back: lineage ends here, lost executors cost a read.
+
+    The files go when the application ends, or before by ``drop_cut``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``cut`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cut-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cut-" in f}:
+        folder, fs = _folder(df.sparkSession, name)
+        fs.delete(folder, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)``: ``node, component`` (the least node of each).
 
-    Alternating large-star and small-star steps: every round is grouped minima and
-    joins, whose hot keys Spark can split; no component meets in one task.  Nodes without
-    an edge don't appear; null ends and loops are ignored.
+    Alternating large-star and small-star steps: every round is grouped minima and joins.
+    The minima are combined before the shuffle and written before the join, so that both
+    sides of the join are plain exchanges and Spark can split a node of very many edges;
+    no component meets in one task.  Nodes without an edge don't appear; null ends and
+    loops are ignored.
     """
     e = (
         edges.where("u is not null and v is not null and u <> v")
@@ -62,12 +75,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen, before = now, e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        drop_cut(before)
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        for done in (before, low, large, least):
+            drop_cut(done)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     flat = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

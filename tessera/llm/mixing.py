@@ -10,12 +10,13 @@ The order is never sorted in one place: rows fall into (source, size class, hash
 cells, the cells' counts give every cell its place, and rows are numbered within cells.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in
-order; rows without a doc_id are sampled like others; repeated rows are separate
-documents; sources whose texts are all empty get target 0 and give nothing.
+order; rows without a doc_id are sampled like others, ordered by their text; repeated rows are
+separate documents; sources whose texts are all empty get target 0 and give nothing.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -60,15 +61,30 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return w.select("__s", "source_size", F.expr(f"least({float(cap)}D * source_size, level * w)").alias("target"))
 
 
-def sample(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``df`` with ``size, source_size, target, copies``: how often the mix takes each row.  Columns of those names are replaced."""
-    rows = (
-        df.drop("size", "source_size", "target", "copies").withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the size of each text and what its place in the order depends on."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # rows without a doc_id are told apart by their text, so that they don't meet in one block
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), text))
+    digits = _digits(df.count())
+    return (
+        df.drop("size", "source_size", "target", "copies")
+        .withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")))
         .withColumn("__cls", _class(F.col("__size")).cast("long"))
-        .withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("__blk", F.substring("__key", 1, 2))
+        .withColumn("__key", F.md5(key.cast("binary")))
+        .withColumn("__crc", F.crc32(text.cast("binary")))
+        .withColumn("__blk", F.substring("__key", 1, digits))
     )
+
+
+def _digits(rows: int, least: int = 2) -> int:
+    """Hex digits of the hash that name a block: blocks of some thousand rows, at most 16 ** 5 of them; the order is the same for all."""
+    return int(min(max(math.ceil(math.log2(max(rows, 1) / 4096) / 4), least), 5))
+
+
+def _taken(rows: DataFrame, weights, share: float, cap: float, seed: int) -> DataFrame:
+    """Rows of ``_keyed`` with ``size, source_size, target, copies``."""
     cell = ["__s", "__cls", "__blk"]
     cells = cut(rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("__size").alias("words")))
     classes = cells.groupBy("__s", "__cls").agg(F.sum("n").alias("n"))
@@ -77,18 +93,22 @@ def sample(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     blocks = cells.select(*cell, F.expr(above.format("__s, __cls", "__blk")).alias("b0"))
     goal = cut(targets(cells.groupBy("__s").agg(F.sum("words").alias("source_size")), weights, share, cap))
     place = blocks.join(classes, ["__s", "__cls"]).join(goal, "__s").select(*cell, (F.col("c0") + F.col("b0")).alias("__before"), "source_size", "target")
-    order = "__key, doc_id, crc32(cast(coalesce(text, '') as binary))"
-    numbered = rows.withColumn("__n", F.expr(f"row_number() over (partition by __s, __cls, __blk order by {order})"))
+    numbered = rows.withColumn("__n", F.expr("row_number() over (partition by __s, __cls, __blk order by __key, doc_id, __crc)"))
     return (
         numbered.join(cut(place), cell)
         .withColumn("__r", F.expr("if(source_size = 0, 0D, target / source_size)"))
         .withColumn("__n", F.col("__before") + F.col("__n"))
         .withColumn("copies", F.expr(f"cast(floor(__n * __r + {offset(seed)}D) - floor((__n - 1) * __r + {offset(seed)}D) as long)"))
         .withColumnRenamed("__size", "size")
-        .drop("__s", "__cls", "__key", "__blk", "__n", "__r", "__before")
+        .drop("__s", "__cls", "__key", "__crc", "__blk", "__n", "__r", "__before")
     )
 
 
+def sample(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """``df`` with ``size, source_size, target, copies``: how often the mix takes each row.  Columns of those names are replaced."""
+    return _taken(_keyed(df), weights, share, cap, seed)
+
+
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken."""
     own = df.select(F.struct(*df.columns).alias("__row"), "doc_id", "text", "source")
@@ -96,15 +116,17 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     return taken.select("__row", F.explode(F.expr("sequence(1L, copies)"))).select("__row.*")
 
 
-def digest(df: DataFrame) -> DataFrame:
-    rows = df.select(F.col("doc_id").cast("long"), "source", F.col("text").cast("string"))
-    return sample(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+def digest(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``; the texts are read once, what follows works on narrow rows."""
+    rows = _keyed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))).drop("text", "source")
+    taken = _taken(cut(rows), weights, share, cap, seed)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE = rf"""
 with base as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as k from documents),
+         md5(coalesce(doc_id::varchar, 't' || coalesce(text, ''))) as k from documents),
 src as (select source, sum(size)::bigint as source_size from base group by source),
 w as (select *, [5.0::double, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w,
          row_number() over (order by source nulls last) as rk from src),

@@ -7,11 +7,12 @@ above N, and cycle walking re-applies it until the value is below N: a permutati
 row number without looking at other rows.  Law ``rows``: shard counts are at most one apart.
 
 Defined results: null or empty texts have size 1 and checksum 0; repeated rows are
-separate rows; rows without a doc_id are numbered like others; an empty table gives none.
+separate rows; rows without a doc_id are numbered like others, by their text; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame
@@ -51,9 +52,15 @@ def _feistel(x: str, seed: int) -> str:
 
 
 def place(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``; needs the columns doc_id and text."""
-    rows = df.withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("__blk", F.substring("__key", 1, 3))
-    # at most 4096 blocks, whatever the input
+    """``df`` with ``shard`` and ``slot``; needs the columns doc_id and text.  Columns of those two names are replaced."""
+    if shards < 1:
+        raise ValueError("at least one shard")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # rows without a doc_id are told apart by their text, so that they don't meet in one block
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), text))
+    # blocks of some thousand rows, but at most 16 ** 5; the order is the same for all
+    digits = int(min(max(math.ceil(math.log2(max(df.count(), 1) / 4096) / 4), 3), 5))
+    rows = df.drop("shard", "slot").withColumn("__key", F.md5(key.cast("binary"))).withColumn("__blk", F.substring("__key", 1, digits))
     blocks = rows.groupBy("__blk").agg(F.count("*").alias("n"))
     blocks = blocks.select("__blk", F.expr("coalesce(sum(n) over (order by __blk rows between unbounded preceding and 1 preceding), 0)").alias("__before"), F.expr("sum(n) over ()").alias("__total"))
     blocks = blocks.withColumn("__a", F.expr("cast(ceil(sqrt(__total)) as long)")).withColumn("__b", F.expr("(__total + __a - 1) div __a"))

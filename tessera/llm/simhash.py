@@ -142,8 +142,9 @@ def groups(df: DataFrame, distance: int = DISTANCE) -> DataFrame:
     comp = components(near_pairs(distinct.select("fp"), distance))
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = cut(named)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "component").select("fp", "component_id")
+    # the minima are combined before the shuffle and written before the join: a component or fingerprint of very many rows can be split
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    label = cut(named.join(least, "component").select("fp", "component_id"))
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
