@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _bloom, _text
 from ._cluster import cut
 
 K = 6
@@ -224,33 +224,6 @@ def chained(matches: DataFrame) -> DataFrame:
     return matches.mapInArrow(run, "doc_id long, a0 int, a1 int, src long, b0 int, b1 int, at array<int>, bt array<int>")
 
 
-#: Bits of the filter of documents: 8 MB, whatever the input; a filled filter only lets more documents through.
-FILTER_BITS = 26
-
-
-def _places(ids: np.ndarray) -> np.ndarray:
-    """Three filter bits of each id."""
-    h = _text.mix64(ids.view(np.uint64))
-    return np.stack([(h >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1) for s in (0, 19, 38)]).astype(np.int64)
-
-
-def document_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``ids(doc_id)``, put together on the executors word by word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_places(batch.column(0).to_numpy().copy()).ravel())
-            word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    rows = ids.select("doc_id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def slices(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, lo, hi, words`` for the ``wanted(doc_id, lo, hi)``: 32 bits of hash a word, cut at the end of the text.
 
@@ -258,13 +231,11 @@ def slices(df: DataFrame, wanted: DataFrame) -> DataFrame:
     word hashes.
     """
     wanted = wanted.distinct()
-    sent = df.sparkSession.sparkContext.broadcast(document_filter(wanted))
+    sent = df.sparkSession.sparkContext.broadcast(_bloom.fill(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _places(batch.column(0).to_numpy().copy())
-            hit = ((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0)
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(_bloom.holds(sent.value, batch.column(0).to_numpy().copy())))
             for c in _text.chunks(batch.column(1)):
                 words, first = word_hashes(c)
                 raw = (words >> np.uint64(32)).astype(np.uint32).tobytes()

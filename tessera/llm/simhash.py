@@ -1,15 +1,27 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are 64 majority bits of the XXH64 values of word shingles.  Pairs at most
-``distance`` bits apart are found by the pigeonhole principle: the 64 bits form segments
-with radii r_i such that a pair within the distance must agree within r_i on some
-segment i.  One side of the join enumerates the small Hamming ball of each of its
-segments, the other stands in the table under its exact segment values, and the complete
-distance is verified inside the join.  Table buckets with many fingerprints are split by
-exact sub-segments of their other bits (again by pigeonhole, so no pair is lost).
+Fingerprints are majority bits of the hashes of word shingles, in words of 64 bits.  The
+bits form segments; two fingerprints that agree within the radius r_i on some segment i
+are a candidate pair.  One side of the join enumerates the small Hamming ball of each of
+its segments, the other stands in the table under its exact segment values, and complete
+distances are verified inside the join.  Of two values that differ, only the one that has
+a 0 at the lowest differing bit enumerates, so a pair is met once a segment.
+
+Two steps keep groups of near copies from becoming all pairs.  First every entry of the
+table is compared with the least one under its key only, and what links is put together
+(``leaders``).  Then the balls are searched, and only pairs of entries that aren't together
+yet leave the join (``crossing``).  Table keys with many entries are split by exact
+sub-segments of all 64 bits (by pigeonhole, so no pair is lost) where the distance is small.
+
+``groups`` (links: distance 4 of 64 bits over shingles of four words, radii such that every
+such pair must agree on a segment) loses no link.  ``near_copies`` finds texts whose sets of
+five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more: 128 bits in eight
+segments of radius 1 propose pairs, the sets themselves decide.  Of pairs at 0.80 some 7 %
+aren't proposed, at 0.85 some 3 %, at 0.9 under 1 %.
 
 Empty or null texts have the fingerprint zero and link like any other; equal
-fingerprints are collapsed before the search, so copies are never expanded into pairs.
+fingerprints (equal sets) are collapsed before the search, so copies are never expanded
+into pairs.
 """
 
 from __future__ import annotations
@@ -22,16 +34,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _bloom, _text
 from ._cluster import components, cut
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (lowest bit, width, radius); the radii sum to DISTANCE - segments + 1, so one segment must match.
-SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+#: (word, lowest bit, width, radius); the radii sum to DISTANCE - segments + 1, so one segment must match.
+SEGMENTS = (("w0", 0, 22, 1), ("w0", 22, 21, 1), ("w0", 43, 21, 0))
 #: Fingerprints of one table bucket above which it is split by sub-segments.
 BUCKET = 256
+#: Of near copies: words of a shingle, least Jaccard similarity, segments, and the distance of the first word that a pair at
+#: SIMILARITY hardly ever exceeds (its mean is 9.7, its deviation 2.9).
+SET_SHINGLE, SIMILARITY = 5, 0.8
+SET_SEGMENTS = tuple((w, lo, 16, 1) for w in ("w0", "w1") for lo in (0, 16, 32, 48))
+SET_DISTANCE = 17
 
 #: For each byte, its bits spread over the eight bytes of a word, most significant first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -58,6 +75,15 @@ def _majority(h: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shingles(first: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many of each text, first word, end) of all shingles; a shorter text is one shingle."""
+    words = np.diff(first)
+    per_text = np.where(words == 0, 0, np.maximum(words - shingle + 1, 1))
+    text = np.repeat(np.arange(len(words)), per_text)
+    a = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    return per_text, a, np.minimum(a + shingle, first[text + 1])
+
+
 def chunk_fingerprints(c: _text.Chunk, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     buf = _text.lower_ascii(c.buf)
     starts, ends, first = _text.word_bounds(buf, c.offsets)
@@ -69,11 +95,8 @@ def chunk_fingerprints(c: _text.Chunk, shingle: int = SHINGLE, seed: int = SEED)
     inside = np.repeat(at - starts, lens) + np.flatnonzero(~_text._SPACE[buf])
     flat = np.full(int(at[-1] + lens[-1] + 1), 0x20, np.uint8)
     flat[inside] = buf[inside - np.repeat(at - starts, lens)]
-    words = np.diff(first)
-    per_text = np.where(words == 0, 0, np.maximum(words - shingle + 1, 1))
-    text = np.repeat(np.arange(len(c)), per_text)
-    a = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    b = np.minimum(a + shingle, first[text + 1]) - 1
+    per_text, a, b = _shingles(first, shingle)
+    b = b - 1
     raw, digest = flat.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter(
         (digest(raw[i:j], seed) for i, j in zip(at[a].tolist(), (at[b] + lens[b]).tolist(), strict=True)), np.uint64, len(a)
@@ -97,66 +120,186 @@ def _bits(fp: str, low: int, width: int) -> str:
     return f"(shiftrightunsigned({fp}, {low}) & {(1 << width) - 1}L)"
 
 
-def near_pairs(fps: DataFrame, distance: int = DISTANCE, segments=SEGMENTS, bucket: int = BUCKET) -> DataFrame:
-    """Pairs ``u, v`` of different fingerprints of ``fps(fp)`` (distinct) at most ``distance`` bits apart."""
-    if sum(r for *_, r in segments) < distance - len(segments) + 1:
-        raise ValueError("these radii would lose pairs")
-    n = len(segments)
-    table = [f"{_bits('fp', lo, w)} * {n}L + {i}L" for i, (lo, w, _) in enumerate(segments)]
-    ball = []
-    for i, (lo, w, r) in enumerate(segments):
-        value = _bits("fp", lo, w)
-        flips = [0]
+def _entries(fps: DataFrame, segments) -> DataFrame:
+    """The table: a row for each entry and segment, under its value."""
+    keys = [f"{_bits(word, lo, w)} * {len(segments)}L + {i}L" for i, (word, lo, w, _) in enumerate(segments)]
+    return fps.select("*", F.explode(F.expr(f"array({','.join(keys)})")).alias("key"))
+
+
+def _balls(fps: DataFrame, segments) -> DataFrame:
+    """The searching side: all values within the radius of each segment; ``far`` where a bit differs."""
+    n, found = len(segments), []
+    for i, (word, lo, w, r) in enumerate(segments):
+        value, flips = _bits(word, lo, w), {0}
         for _ in range(r):
-            flips = sorted({f ^ (1 << k) for f in flips for k in range(w)} | set(flips))
-        masks = "array(" + ",".join(f"{f}L" for f in flips) + ")"
-        ball.append(f"transform({masks}, f -> ({value} ^ f) * {n}L + {i}L)")
-    stand = fps.select("fp", F.explode(F.expr(f"array({','.join(table)})")).alias("key"))
-    seek = fps.select("fp", F.explode(F.expr(f"concat({','.join(ball)})")).alias("key"))
-    hot = cut(stand.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
-    near = "q.fp < t.fp and bit_count(q.fp ^ t.fp) <= " + str(distance)
-    pick = [F.col("q.fp").alias("u"), F.col("t.fp").alias("v")]
-    if hot.isEmpty():
-        return seek.alias("q").join(stand.alias("t"), F.expr(f"q.key = t.key and {near}")).select(*pick).distinct()
-    # a hot bucket is split by distance + 1 exact slices of all 64 bits: one of them must agree
+            flips |= {f ^ (1 << k) for f in flips for k in range(w)}
+        masks = "array(" + ",".join(f"{f}L" for f in sorted(flips)) + ")"
+        found.append(f"transform(filter({masks}, f -> ({value} & f & -f) = 0), f -> struct(({value} ^ f) * {n}L + {i}L as key, f <> 0 as far))")
+    return fps.select("*", F.explode(F.expr(f"concat({','.join(found)})")).alias("s")).select("*", "s.key", "s.far").drop("s")
+
+
+def _near(distance: int) -> str:
+    return f"bit_count(q.w0 ^ t.w0) <= {distance}"
+
+
+_PAIR = ("q.id as u", "t.id as v")
+
+
+def leaders(fps: DataFrame, distance: int, segments) -> DataFrame:
+    """Pairs ``u, v`` of each entry of ``fps(id, w0, ...)`` with the least one under one of its keys."""
+    stand = _entries(fps, segments).select("id", "w0", "key")
+    first = cut(stand.groupBy("key").agg(F.min(F.struct("id", "w0")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f.*"))
+    return stand.alias("q").join(first.alias("t"), F.expr(f"q.key = t.key and q.id <> t.id and {_near(distance)}")).selectExpr(*_PAIR).distinct()
+
+
+def crossing(fps: DataFrame, distance: int, segments, bucket: int | None = BUCKET) -> DataFrame:
+    """Pairs ``u, v`` of entries of ``fps(id, w0, ..., comp)`` that aren't together yet.  No ``bucket``: keys aren't split."""
+    stand, seek = _entries(fps, segments), _balls(fps, segments)
+    near = f"q.comp <> t.comp and (q.far or q.id < t.id) and {_near(distance)}"
+    keep = ["id", "w0", "comp", "key"]
+    hot = None
+    if bucket is not None:
+        hot = cut(stand.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
+    if hot is None or hot.isEmpty():
+        return seek.select(*keep, "far").alias("q").join(stand.select(*keep).alias("t"), F.expr(f"q.key = t.key and {near}")).selectExpr(*_PAIR).distinct()
+    # a hot key is split by distance + 1 exact slices of all 64 bits: one of them must agree
     cuts = np.linspace(0, 64, distance + 2).astype(int).tolist()
-    parts = [f"struct({k} as k, {_bits('fp', a, b - a)} as part)" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    parts = [f"struct({k} as k, {_bits('w0', a, b - a)} as part)" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
-    def split(rows: DataFrame) -> DataFrame:
-        own = rows.join(hot.withColumn("is_hot", F.lit(True)), "key", "left")
+    def split(rows: DataFrame, own: list[str]) -> DataFrame:
+        rows = rows.select(*own).join(hot.withColumn("is_hot", F.lit(True)), "key", "left")
         whole = "array(struct(-1 as k, 0L as part))"
-        return own.select("fp", "key", F.explode(F.expr(f"if(is_hot, array({','.join(parts)}), {whole})")).alias("s")).select("fp", "key", "s.*")
+        return rows.select(*own, F.explode(F.expr(f"if(is_hot, array({','.join(parts)}), {whole})")).alias("s")).select(*own, "s.*")
 
     same = "q.key = t.key and q.k = t.k and q.part = t.part and "
-    return split(seek).alias("q").join(split(stand).alias("t"), F.expr(same + near)).select(*pick).distinct()
+    return split(seek, [*keep, "far"]).alias("q").join(split(stand, keep).alias("t"), F.expr(same + near)).selectExpr(*_PAIR).distinct()
 
 
-def groups(df: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def together(fps: DataFrame, distance: int, segments, bucket: int | None = BUCKET, sure=lambda pairs: pairs) -> DataFrame:
+    """``id, comp`` of ``fps(id, w0, ...)`` (distinct ids): the least id that links reach.  ``sure`` keeps the pairs that are links."""
+    first = cut(sure(leaders(fps, distance, segments)))
+    comp = components(first).withColumnRenamed("node", "id")
+    now = cut(fps.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    more = cut(sure(crossing(now, distance, segments, bucket)))
+    if more.isEmpty():
+        return now.select("id", "comp")
+    # what is together is one node from here on
+    named = now.select("id", "comp")
+    ends = more.join(named.withColumnRenamed("comp", "a"), F.col("u") == F.col("id")).drop("id").join(named.withColumnRenamed("comp", "b"), F.col("v") == F.col("id"))
+    last = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "comp")
+    return named.join(last, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
+
+
+def groups(df: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id reachable over links).
 
     Rows without a doc_id get the component of their fingerprint; if no member has a
     doc_id the component is null.
     """
+    if sum(r for *_, r in segments) < distance - len(segments) + 1:
+        raise ValueError("these radii would lose pairs")
     rows = cut(fingerprints(df))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = components(near_pairs(distinct.select("fp"), distance))
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = cut(named)
+    comp = together(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), distance, segments).select(F.col("id").alias("fp"), F.col("comp").alias("component"))
+    named = cut(distinct.join(comp, "fp"))
     # the minima are combined before the shuffle and written before the join: a component or fingerprint of very many rows can be split
     least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
     label = cut(named.join(least, "component").select("fp", "component_id"))
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, with all their columns.
+def shingle_sets(c: _text.Chunk, shingle: int = SET_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(how many of each text, hashes in order) of the different shingles of each text."""
+    buf = _text.lower_ascii(c.buf)
+    starts, ends, first = _text.word_bounds(buf, c.offsets)
+    per_text, a, b = _shingles(first, shingle)
+    if len(a) == 0:
+        return per_text, np.zeros(0, np.uint64)
+    h = _text.gram_hashes(_text.span_hashes(buf, starts, ends), a, b)
+    text = np.repeat(np.arange(len(c)), per_text)
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return np.bincount(text[new], minlength=len(c)), h[new]
+
+
+def _set_ids(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(_text.mix64(h ^ np.uint64(0x94D049BB133111EB)), out=total[1:])
+    ends = np.cumsum(counts)
+    return _text.mix64(total[ends] - total[ends - counts] + counts.astype(np.uint64)).view(np.int64)
+
+
+def _own(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_copies(df: DataFrame, similarity: float = SIMILARITY, shingle: int = SET_SHINGLE) -> DataFrame:
+    """``doc_id, text_hash, comp`` for every row: rows with one ``comp`` are linked by pairs of at least that similarity.
+
+    ``text_hash`` is Spark's ``xxhash64`` of the text.  Texts under ``shingle`` words are one shingle; those without words
+    have the empty set and are one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in _text.chunks(batch.column(2)):
+                counts, h = shingle_sets(c, shingle)
+                w = [pa.array(_majority(x, counts).view(np.int64)) for x in (h, _text.mix64(h))]
+                own = [x[c.first : c.first + len(c)] for x in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_set_ids(counts, h)), *w], names=["doc_id", "text_hash", "id", "w0", "w1"])
+
+    hashed = _own(df).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = cut(hashed.mapInArrow(run, "doc_id long, text_hash long, id long, w0 long, w1 long"))
+    fps = cut(rows.groupBy("id").agg(F.first("w0").alias("w0"), F.first("w1").alias("w1")))
+    comp = together(fps, SET_DISTANCE, SET_SEGMENTS, None, lambda pairs: similar(df, cut(pairs), similarity, shingle))
+    return rows.join(cut(comp), "id").select("doc_id", "text_hash", "comp")
+
+
+def similar(df: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs(u, v)`` of set ids whose sets, taken from the texts again, are so similar."""
+    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    sent = df.sparkSession.sparkContext.broadcast(_bloom.fill(ends, "id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in _text.chunks(batch.column(0)):
+                counts, h = shingle_sets(c, shingle)
+                ids, at = _set_ids(counts, h), np.cumsum(counts)
+                hit = np.flatnonzero(_bloom.holds(sent.value, ids)).tolist()
+                raw = [h[at[i] - counts[i] : at[i]].tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(raw, pa.binary())], names=["id", "set"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    # of copies one row is enough: the filter may let others through, the join doesn't
+    found = _own(df).select("text").mapInArrow(sets, "id long, set binary")
+    found = cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]))
+    u, v = found.select(F.col("id").alias("u"), F.col("set").alias("a")), found.select(F.col("id").alias("v"), F.col("set").alias("b"))
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+
+
+def keep_one(df: DataFrame, similarity: float = SIMILARITY, shingle: int = SET_SHINGLE) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one with the least doc_id (rows without one come last).
 
-    Of repeated rows of one doc_id one stays; rows without a doc_id can't be told apart
-    and stay.
+    Of rows with one doc_id and different texts, each is a document of its own; among rows of a group with one doc_id the least
+    text hash stays.  Of rows that agree in doc_id and text one stays; which one isn't defined if other columns differ.
     """
-    first = groups(df, distance).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(first, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(df.where("doc_id is null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    first = near_copies(df, similarity, shingle).groupBy("comp").agg(F.min(rank).alias("r"))
+    first = cut(first.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__th")))
+    own = df.withColumns({"__key": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = own.join(first, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates(["__key", "__hash"]).select(*df.columns)
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def test_simhash_components(spark, sf):
     assert [got[i].component_id for i in ids] == [ids[k] for k in brute_components(fps, 4)]
 
 
-def test_simhash_pairs_lose_nothing(spark):
+def test_simhash_loses_no_link(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = set(base)
@@ -173,10 +173,58 @@ def test_simhash_pairs_lose_nothing(spark):
     fps |= {(rng.getrandbits(6) << 58) | (rng.getrandbits(8) << 30) | 77 for _ in range(300)}
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    want = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = spark.createDataFrame([(x, x) for x in signed], "id long, w0 long")
+    order = sorted(range(len(fps)), key=lambda i: signed[i])
+    want = brute_components([fps[i] for i in order], 4)
     for bucket in (8, 10_000):
-        assert {tuple(sorted(r)) for r in simhash.near_pairs(df, bucket=bucket).collect()} == want
+        got = {r.id: r.comp for r in simhash.together(df, 4, simhash.SEGMENTS, bucket).collect()}
+        assert [got[signed[i]] for i in order] == [signed[order[k]] for k in want]
+        # without anything put together before, every pair leaves the join
+        pairs = simhash.crossing(df.withColumn("comp", F.col("id")), 4, simhash.SEGMENTS, bucket).collect()
+        true = {(max(a, b), min(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
+        assert {(max(r), min(r)) for r in pairs} == true
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_similar_sets(spark):
+    """Groups of near copies against all pairs of sets; what isn't 0.8 similar by links stays apart."""
+    rng = random.Random(21)
+    docs = []
+    for g in range(40):
+        base = words(rng, 150).split()
+        docs.append(" ".join(base))
+        for n in (1, 2, 3, 8):  # words changed: 0.94, 0.88, 0.82, 0.6 or so
+            t = list(base)
+            for k in rng.sample(range(150), n):
+                t[k] = "changed"
+            docs.append(" ".join(t))
+        docs.append(" ".join(base).upper())
+    docs += [None, "", "one", "One", "two"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [shingles(t) for t in docs]
+    up = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x == max(a, b) else x for x in up]
+    comp = {r.doc_id: r.comp for r in simhash.near_copies(df).collect()}
+    first = {}
+    for i in range(len(docs)):
+        first.setdefault(comp[i], i)
+    got = [first[comp[i]] for i in range(len(docs))]
+    assert all(up[x] == up[i] for i, x in enumerate(got))  # nothing but links
+    assert sum(g == w for g, w in zip(got, up, strict=True)) >= 0.95 * len(docs)
+    assert [got[i] for i in range(240, 245)] == [240, 240, 242, 242, 244]
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(got)
 
 
 def test_simhash_odd_rows(odd, empty):
@@ -187,7 +235,10 @@ def test_simhash_odd_rows(odd, empty):
     assert by[6].component_id == 5
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 7, 8] and kept.where("doc_id is null").count() == 2
+    # the row without text and id is a copy of 1; the repeats of 8 are one document; the text of 6 is that of 5
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 8] and kept.where("doc_id is null").first().text == "no id here"
+    other = kept.where("doc_id = 7").withColumn("text", F.lit("another text of this id"))
+    assert simhash.keep_one(kept.unionByName(other)).where("doc_id = 7").count() == 2
     assert simhash.digest(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 

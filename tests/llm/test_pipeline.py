@@ -1,8 +1,7 @@
 import corpus_pipeline
 from tessera.llm import decontam, mixing, queries, simhash
 
-from .test_operators import feistel
-from .test_text import brute_fingerprint
+from .test_operators import feistel, jaccard, shingles
 
 
 def test_pipeline_stage_by_stage(spark, sf):
@@ -18,15 +17,16 @@ def test_pipeline_stage_by_stage(spark, sf):
     good, single, clean, mixed, shards = kept
     score = {r.doc_id: r.predicted for r in queries.op5_quality(spark, sf).collect()}
     assert {r.doc_id for r in good.collect()} == {i for i, p in score.items() if p}
-    rows = {r.doc_id: r.text for r in good.collect()}
-    ids, fps = sorted(rows), {}
-    for i in ids:
-        fps[i] = brute_fingerprint(rows[i])
+    rows = {r.doc_id: shingles(r.text) for r in good.collect()}
     left = {r.doc_id for r in single.collect()}
-    assert left == {r.component_id for r in simhash.groups(good).collect()}
-    for i in ids:  # every document has a kept one in its group, and kept ones don't link
-        assert i in left or any((fps[i] ^ fps[j]).bit_count() <= 4 for j in ids if j != i)
-    assert not [1 for i in left for j in left if i < j and (fps[i] ^ fps[j]).bit_count() <= 4]
+    groups = {}
+    for r in simhash.near_copies(good).collect():
+        groups.setdefault(r.comp, []).append(r.doc_id)
+    assert left == {min(g) for g in groups.values()}
+    for g in groups.values():  # whatever goes is similar to another document of its group
+        assert len(g) == 1 or all(any(jaccard(rows[i], rows[j]) >= 0.8 for j in g if j != i) for i in g)
+    twins = [(i, j) for i in left for j in left if i < j and rows[i] & rows[j] and jaccard(rows[i], rows[j]) >= 0.8]
+    assert len(twins) <= 0.1 * (len(rows) - len(left))
     tests = spark.read.parquet(f"{sf}/benchmark.parquet")
     dirty = {r.doc_id for r in decontam.digest(single, tests).collect()}
     assert {r.doc_id for r in clean.collect()} == left - dirty
