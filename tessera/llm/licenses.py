@@ -1,9 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Headers are lines, and short files count as a whole too; each is a sparse TF-IDF vector
-over words, compared with every template.  Document frequencies of the template words are
-counted over all files; words that no template has only lengthen a vector.  The best
-template above ``COSINE`` is the file's own licence.
+Three kinds of spans of a text are sparse TF-IDF vectors over words, compared with every
+template: its lines, the text as a whole, whatever its length, and sliding windows of about
+the templates' lengths over all its words, which find notices inside longer lines and texts
+that are wrapped.  Document frequencies of the template words are counted over all files;
+words that no template has only lengthen a vector.  The best template above ``COSINE``
+(``WINDOW_COSINE``, ``SHORT_COSINE`` for windows) that shares two different words with the
+span is the file's own licence.
+
+Most spans aren't compared: the share of a vector's length that known words have bounds its
+cosine with any template (Cauchy-Schwarz), and ``_may`` bounds that share from sums alone, so
+that no span above the threshold is left out.
 
 A file is a licence file of its directory if its name says so or if licence statements
 make up ``SHARE`` of its words.  Files without a licence of their own inherit that of the
@@ -12,7 +19,8 @@ their ancestors once, joined, and the deepest hit wins.
 
 Defined results: null and empty texts have no own licence and may inherit; a null path has
 no directory; several licence files in a directory: the highest share, then the least path
-wins; repeated rows are scanned one by one.
+wins; equally near licences: the least name wins; repeated rows are scanned one by one.
+Columns of the input named like those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -26,23 +34,16 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._cluster import cut
+from .license_texts import TEMPLATES
 
-#: Short notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
-}
 COSINE = 0.6
 SHARE = 0.1
-#: Words up to which a file is compared as a whole too.
-WHOLE = 400
+#: Lengths of windows in words; of each template the longest that isn't longer.  A window moves by an eighth of its length.
+WINDOWS = (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+#: Least cosines of windows; the second for those under SHORT words, which a change of subject resembles too easily.
+WINDOW_COSINE, SHORT_COSINE, SHORT = 0.75, 0.9, 12
+#: Words of spans that are compared at once.
+AT_ONCE = 1 << 19
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)(\..*|-.*)?$"
 
 
@@ -61,6 +62,7 @@ class Matcher:
         names = [(k, t) for k, v in sorted(templates.items()) for t in v]
         self.names = [k for k, _ in names]
         words = _hashes([t for _, t in names])
+        self.windows = sorted({max((w for w in WINDOWS if w <= len(x)), default=len(x)) for x in words})
         self.vocabulary = np.unique(np.concatenate(words))
         self.counts = np.zeros((len(words), len(self.vocabulary)))
         for i, w in enumerate(words):
@@ -78,53 +80,88 @@ class Matcher:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, at, -1)
 
-    def best(self, h: np.ndarray, place: np.ndarray) -> tuple[float, str]:
-        """(cosine, licence) of the nearest template to these words."""
-        v = np.bincount(place[place >= 0], minlength=len(self.vocabulary))
-        _, n = np.unique(h[place < 0], return_counts=True)
-        x = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * self.idf
-        norm = np.sqrt((x * x).sum() + (((1 + np.log(n)) * self.other) ** 2).sum())
-        if not norm:
-            return 0.0, ""
-        sims = np.round(self.rows @ x / norm, 9)
-        k = int(np.argmax(sims))
-        return float(sims[k]), self.names[k]
+    def best(self, h: np.ndarray, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, template) of the nearest template to each of these spans of words; 0 where none shares two words."""
+        n, size = len(starts), len(self.vocabulary)
+        lens = ends - starts
+        span = np.repeat(np.arange(n), lens)
+        at = np.repeat(starts, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+        p = place[at]
+        known = p >= 0
+        keys, times = np.unique(span[known] * size + p[known], return_counts=True)
+        x = np.zeros((n, size))
+        x[keys // size, keys % size] = (1 + np.log(times)) * self.idf[keys % size]
+        order = np.lexsort((h[at[~known]], span[~known]))
+        other, owner = h[at[~known]][order], span[~known][order]
+        new = np.ones(len(other), bool)
+        new[1:] = (other[1:] != other[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(other)))
+        norm = np.sqrt((x * x).sum(1) + np.bincount(owner[first], ((1 + np.log(times)) * self.other) ** 2, minlength=n))
+        sims = np.round(np.divide(x @ self.rows.T, norm[:, None], out=np.zeros((n, len(self.names))), where=norm[:, None] > 0), 9)
+        sims[(x > 0).astype(np.float32) @ (self.counts > 0).T.astype(np.float32) < 2] = 0
+        k = np.argmax(sims, axis=1)
+        return sims[np.arange(n), k], k
 
     def scan(self, c: _text.Chunk) -> list[tuple[str, float, float] | None]:
         """For each text (licence, cosine, share of its words in licence statements), or None."""
         buf = _text.lower_ascii(c.buf)
         starts, ends, first = _text.word_bounds(buf, c.offsets, letters=True)
+        found: list[tuple[str, float, float] | None] = [None] * len(c)
+        if len(starts) == 0:
+            return found
         h = _text.span_hashes(buf, starts, ends)
         place = self.places(h)
         # lines are numbered over the whole chunk; a text always opens a new one
         opens = np.zeros(len(buf) + 1, np.int64)
         opens[1:][buf == 10] = 1
         opens[c.offsets[:-1]] = 1
-        line = np.cumsum(opens)[starts] if len(starts) else starts
-        found: list[tuple[str, float, float] | None] = [None] * len(c)
-        if len(starts) == 0:
-            return found
-        edges = np.flatnonzero(np.diff(line, prepend=-1))
-        bounds = np.append(edges, len(line))
-        known = np.add.reduceat((place >= 0).astype(np.int64), edges)
-        # a cosine over the threshold needs at least a third of the words in the vocabulary, and two of them
-        lens = np.diff(bounds)
-        for k in np.flatnonzero((known >= 2) & (3 * known >= lens)).tolist():
-            a, b = bounds[k], bounds[k + 1]
-            sim, name = self.best(h[a:b], place[a:b])
-            if sim >= COSINE:
-                i = int(np.searchsorted(first, a, "right")) - 1
-                old, words = found[i], first[i + 1] - first[i]
-                share = (b - a) / words + (old[2] if old else 0)
-                found[i] = (old[0], old[1], share) if old and (old[1], name) >= (sim, old[0]) else (name, sim, share)
-        for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) <= WHOLE)).tolist():
-            a, b = first[i], first[i + 1]
-            if 3 * (place[a:b] >= 0).sum() >= b - a:
-                sim, name = self.best(h[a:b], place[a:b])
-                if sim >= COSINE and (found[i] is None or sim > found[i][1]):
-                    found[i] = (name, sim, 1.0)
+        line = np.flatnonzero(np.diff(np.cumsum(opens)[starts], prepend=-1))
+        texts = np.flatnonzero(np.diff(first))
+        spans = [(line, np.append(line[1:], len(h)), COSINE), (first[texts], first[texts + 1], COSINE)]
+        own = _text.owners(first)
+        for w in self.windows:
+            step = max(1, w // 8)
+            at = np.arange(0, max(len(h) - w + 1, 0))
+            at = at[(at + w <= first[own[at] + 1]) & (((at - first[own[at]]) % step == 0) | (at + w == first[own[at] + 1]))]
+            spans.append((at, at + w, SHORT_COSINE if w < SHORT else WINDOW_COSINE))
+        weight = np.zeros(len(h) + 1)
+        np.cumsum(np.where(place >= 0, self.idf[place] ** 2, 0), out=weight[1:])
+        known = np.zeros(len(h) + 1, np.int64)
+        np.cumsum(place >= 0, out=known[1:])
+        hits: list[tuple[int, int, float, int]] = []
+        for a, b, least in spans:
+            may = self._may(weight[b] - weight[a], known[b] - known[a], b - a, least)
+            a, b = a[may], b[may]
+            part = np.cumsum(b - a) // AT_ONCE
+            for k in np.unique(part).tolist():
+                x, y = a[part == k], b[part == k]
+                sims, name = self.best(h, place, x, y)
+                for i in np.flatnonzero(sims >= least).tolist():
+                    hits.append((int(x[i]), int(y[i]), float(sims[i]), int(name[i])))
+        covered: dict[int, tuple[int, int]] = {}  # words in statements so far, and where they end
+        for a, b, sim, k in sorted(hits):
+            i = int(own[a])
+            n, end = covered.get(i, (0, 0))
+            covered[i] = n + max(0, b - max(a, end)), max(end, b)
+            old = found[i]
+            name = self.names[k]
+            if old is None or (-sim, name) < (-old[1], old[0]):
+                found[i] = (name, sim, 0.0)
+        for i, (n, _) in covered.items():
+            found[i] = (*found[i][:2], n / float(first[i + 1] - first[i]))
         return found
 
+    def _may(self, weight: np.ndarray, known: np.ndarray, words: np.ndarray, least: float) -> np.ndarray:
+        """Whether spans can reach the cosine, by the summed squared weights and the number of their known words.
+
+        A cosine is at most the known part of the vector's length.  A word that stands c times weighs (1 + ln c) ** 2 <= 4 c / e
+        times its square; u unknown words weigh at least as much as one word that stands u times.
+        """
+        other = words - known
+        rest = np.where(other > 0, ((1 + np.log(np.maximum(other, 1))) * self.other) ** 2, 0)
+        return (known >= 2) & (4 / np.e * weight >= least**2 / (1 - least**2) * rest * (1 - 1e-9))
+
 
 def matcher(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Matcher:
     """Templates with the word weights of all ``files``."""
@@ -145,7 +182,7 @@ def matcher(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES)
 
     rows = files.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size + 1, np.int64)
-    for r in rows:  # a row a template word
+    for r in rows:  # one row a template word, whatever the input
         counts[r.term] = r.n
     m.weigh(counts[:size], int(counts[size]))
     return m
@@ -153,6 +190,7 @@ def matcher(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES)
 
 def own(files: DataFrame, m: Matcher, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every file, ``own_license``, ``score`` and ``share``."""
+    keep = [k for k in keep if k not in ("own_license", "score", "share")]
     sent = files.sparkSession.sparkContext.broadcast(m)  # some hundred words a template
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +208,7 @@ def own(files: DataFrame, m: Matcher, keep: list[str]) -> DataFrame:
 
 def scan(files: DataFrame, keep: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """For every row of ``files(path, text, ...)`` the columns ``keep``, path, own_license, score, inherited_from, license."""
+    keep = [k for k in keep if k not in ("path", "own_license", "score", "share", "inherited_from", "license", "dir", "at", "granted")]
     rows = cut(own(files, matcher(files, templates), [*keep, "path"]))
     folder = F.regexp_replace(F.regexp_replace("path", r"[^/]*$", ""), r"/+$", "")
     rows = rows.withColumn("dir", folder)

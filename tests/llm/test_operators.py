@@ -465,22 +465,68 @@ def test_licenses(spark, odd, empty):
     assert licenses.digest(odd).count() == odd.count() and licenses.digest(empty).count() == 0
 
 
-def test_licence_cosines(spark):
-    """The sparse cosine against dense arithmetic."""
-    m = licenses.Matcher(licenses.TEMPLATES)
-    m.weigh(np.arange(len(m.vocabulary)) % 7, 50)
-    text = licenses.TEMPLATES["Apache-2.0"][1] + " extra words extra"
-    (h,) = licenses._hashes([text])
-    sim, name = m.best(h, m.places(h))
-    vocab = {v: i for i, v in enumerate(m.vocabulary.tolist())}
-    idf = lambda w: m.idf[vocab[w]] if w in vocab else m.other
-    vec = lambda ws: {w: (1 + np.log(ws.count(w))) * idf(w) for w in set(ws)}
-    x = vec(h.tolist())
-    best = 0
-    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
-        y = vec(licenses._hashes([t])[0].tolist())
-        best = max(best, sum(x.get(w, 0) * v for w, v in y.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())))
-    assert name == "Apache-2.0" and sim == pytest.approx(best, abs=1e-6)
+def test_licences_in_texts_of_any_length(spark):
+    rng = random.Random(10)
+    gpl, mit = licenses.TEMPLATES["GPL-3.0"][0], licenses.TEMPLATES["MIT"][3]
+    body = words(rng, 300)
+    files = [
+        (1, "\n".join((gpl + " ") .split() * 2)), (2, "\n".join(gpl.split() * 40)), (3, body + " " + " ".join(mit.split()) + " " + body),
+        (4, licenses.TEMPLATES["MIT"][0] + " zzz" * 50), (5, body.replace(" ", "\n")), (6, body + " " + " ".join(licenses.TEMPLATES["Zlib"][2].split()).replace(" ", "\n") + "\n" + body * 30),
+    ]
+    got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(files, "doc_id long, text string").withColumn("path", F.lit("a/b")), ["doc_id"]).collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-3.0", 3: "MIT", 4: "MIT", 5: None, 6: "Zlib"}
+
+
+def brute_licences(docs, templates):
+    """Every line, text and window of every document against every template, in dictionaries."""
+    import math
+    import re
+
+    tok = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (t or "").lower())
+    names = [(k, tok(t)) for k, v in sorted(templates.items()) for t in v]
+    vocab = {w for _, t in names for w in t}
+    df = {w: sum(w in set(tok(t)) for _, t in docs) for w in vocab}
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1 if w in vocab else math.log(1 + len(docs)) + 1
+    vec = lambda ws: {w: (1 + math.log(ws.count(w))) * idf(w) for w in set(ws)}
+    size = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    rows = [(k, vec(t)) for k, t in names]
+    lengths = {max(w for w in licenses.WINDOWS if w <= len(t)) for _, t in names}
+    out = {}
+    for d, text in docs:
+        ws = tok(text)
+        spans = [(tok(x), licenses.COSINE) for x in (text or "").split("\n")] + [(ws, licenses.COSINE)]
+        for n in lengths:
+            least = licenses.SHORT_COSINE if n < licenses.SHORT else licenses.WINDOW_COSINE
+            spans += [(ws[a : a + n], least) for a in range(len(ws) - n + 1) if a % max(1, n // 8) == 0 or a + n == len(ws)]
+        found = []
+        for span, least in spans:
+            x = vec(span)
+            for k, y in rows:
+                if len(x.keys() & y.keys()) >= 2:
+                    sim = round(sum(v * x.get(w, 0) for w, v in y.items()) / (size(x) * size(y)), 9)
+                    if sim >= least:
+                        found.append((-sim, k))
+        out[d] = min(found, default=None)
+    return out
+
+
+def test_licences_as_brute_force(spark):
+    rng = random.Random(20)
+    templates = {k: licenses.TEMPLATES[k] for k in ("MIT", "ISC", "GPL-3.0", "Apache-2.0", "Proprietary")}
+    docs = []
+    for d in range(25):
+        text = words(rng, rng.randrange(40), 60).split()
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(templates[rng.choice(sorted(templates))]).split()
+            text += [w for w in t if rng.random() < rng.choice((0.6, 1))] + words(rng, rng.randrange(9), 60).split()
+        docs.append((d, "".join(w + rng.choice(" \n    ") for w in text)))
+    docs += [(30, None), (31, "all rights reserved"), (32, "license license license")]
+    want = brute_licences(docs, templates)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("path", F.col("doc_id").cast("string"))
+    got = {r.doc_id: r for r in licenses.own(df, licenses.matcher(df, templates), ["doc_id"]).collect()}
+    assert {d: r.own_license for d, r in got.items()} == {d: x and x[1] for d, x in want.items()}
+    assert all(got[d].score == pytest.approx(-x[0], abs=1e-8) for d, x in want.items() if x)
+    assert sum(x is not None for x in want.values()) > 8
 
 
 # --- passages ---------------------------------------------------------------------------
