@@ -35,8 +35,8 @@ def unknown_activities(documents: DataFrame, activities: DataFrame) -> DataFrame
 def live_categories(macros: DataFrame, categories: DataFrame, include_proposed: bool) -> DataFrame:
     """Categories with their activity and retention; proposed ones only if asked for."""
     own = categories if include_proposed else categories.where("mapping_state = 'confirmed'")
-    m = macros.select(F.col("id").alias("macro_category_id"), "activity_id", F.col("raw_text").alias("macro_text"), "retention_months")
-    return own.select(F.col("id").alias("category_id"), "macro_category_id", F.col("raw_text").alias("category_text"), "pii_types").join(m, "macro_category_id")
+    m = macros.select(F.col("id").alias("macro_category_id"), "activity_id", F.col("raw_text").alias("macro_text"), "retention_months", F.col("position").alias("macro_position"))
+    return own.select(F.col("id").alias("category_id"), "macro_category_id", F.col("raw_text").alias("category_text"), "pii_types", F.col("position").alias("category_position")).join(m, "macro_category_id")
 
 
 def declared_types(macros: DataFrame, categories: DataFrame, include_proposed: bool = False) -> DataFrame:
@@ -63,10 +63,10 @@ def type_sets(documents: DataFrame, instances: DataFrame, macros: DataFrame, cat
 
 
 def unresolved(documents: DataFrame, macros: DataFrame, categories: DataFrame, include_proposed: bool = False) -> DataFrame:
-    """``document_id, unresolved``: wordings declared without a type, in order, repeats kept."""
+    """``document_id, unresolved``: wordings declared without a type, in the order of associations and sheets, repeats kept."""
     rows = live_categories(macros, categories, include_proposed).where("size(pii_types) = 0")
     each = associations(documents).join(rows, "activity_id")
-    listed = F.array_sort(F.collect_list(F.struct("pos", "macro_category_id", "category_id", "category_text")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "macro_position", "category_position", "category_text")))
     return each.groupBy("document_id").agg(F.transform(listed, lambda x: x["category_text"]).alias("unresolved"))
 
 
@@ -81,22 +81,22 @@ def coverage(documents: DataFrame, instances: DataFrame, macros: DataFrame, cate
 def retention(documents: DataFrame, instances: DataFrame, macros: DataFrame, categories: DataFrame, now: Column, include_proposed: bool = False) -> DataFrame:
     """One row a macro category that a document holds data of: with ``flag`` (kept too long) or ``unverifiable`` (no months declared)."""
     rows = live_categories(macros, categories, include_proposed)
-    m = rows.groupBy("activity_id", "macro_category_id", F.col("macro_text").alias("category"), "retention_months").agg(F.array_distinct(F.flatten(F.collect_list("pii_types"))).alias("types"))
+    m = rows.groupBy("activity_id", "macro_category_id", "macro_position", F.col("macro_text").alias("category"), "retention_months").agg(F.array_distinct(F.flatten(F.collect_list("pii_types"))).alias("types"))
     docs = documents.select("document_id", age_months(F.col("reference_date"), now).alias("age_months"))
     held = associations(documents).join(m, "activity_id").join(detected_types(instances), "document_id").join(docs, "document_id")
     held = held.withColumn("pii_types", F.array_sort(F.array_intersect("types", "detected"))).where("size(pii_types) > 0")
     flag = F.coalesce(F.col("age_months") > F.col("retention_months"), F.lit(False))
     out = held.withColumn("flag", flag).withColumn("unverifiable", F.col("retention_months").isNull()).where("flag or unverifiable")
-    return out.select("document_id", "pos", "activity_id", "macro_category_id", "category", "retention_months", "age_months", "pii_types", (F.col("age_months") - F.col("retention_months")).alias("overdue_months"), "flag", "unverifiable")
+    return out.select("document_id", "pos", "activity_id", "macro_category_id", "macro_position", "category", "retention_months", "age_months", "pii_types", (F.col("age_months") - F.col("retention_months")).alias("overdue_months"), "flag", "unverifiable")
 
 
 def report(documents: DataFrame, instances: DataFrame, activities: DataFrame, macros: DataFrame, categories: DataFrame, now: Column, include_proposed: bool = False) -> DataFrame:
     """One verdict a document with an association."""
     kept = retention(documents, instances, macros, categories, now, include_proposed)
     flag = F.struct("activity_id", "category", "retention_months", "age_months", "pii_types", "overdue_months")
-    order = F.array_sort(F.collect_list(F.struct("pos", "macro_category_id", flag.alias("f"))))
+    order = F.array_sort(F.collect_list(F.struct("pos", "macro_position", flag.alias("f"))))
     flags = kept.where("flag").groupBy("document_id").agg(F.transform(order, lambda x: x["f"]).alias("retention_flags"))
-    names = F.array_sort(F.collect_list(F.struct("pos", "macro_category_id", "category")))
+    names = F.array_sort(F.collect_list(F.struct("pos", "macro_position", "category")))
     loose = kept.where("unverifiable").groupBy("document_id").agg(F.transform(names, lambda x: x["category"]).alias("retention_unresolved"))
     out = type_sets(documents, instances, macros, categories, include_proposed)
     for part in (unknown_activities(documents, activities), unresolved(documents, macros, categories, include_proposed), flags, loose):

@@ -65,30 +65,31 @@ def checked(candidates: DataFrame, documents: DataFrame) -> DataFrame:
 Engine = Callable[[str], list[tuple[int, int, str, float, str]]]
 
 
-def engine_candidates(documents: DataFrame, engine: Callable[[], Engine]) -> DataFrame:
-    """Runs an engine once a document, in batches; ``engine`` builds it on the executor.
+FOUND = "array<struct<start:int,end:int,entity:string,score:double,recognizer:string>>"
 
-    Rows: document_id, ord, start, end, entity, score, recognizer.
+
+def engine_found(documents: DataFrame, engine: Callable[[], Engine]) -> DataFrame:
+    """``documents(document_id, text)`` with ``found``, what the engine gives for the text.
+
+    The engine is built on the executor and runs once a document; all that is made of its answer stays in the row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognize = engine()
+        names = ("start", "end", "entity", "score", "recognizer")
         for pdf in batches:
-            rows = [(d, i, *r) for d, t in zip(pdf["document_id"], pdf["text"], strict=True) for i, r in enumerate(recognize(t or ""))]
-            yield pd.DataFrame(rows, columns=["document_id", "ord", "start", "end", "entity", "score", "recognizer"])
+            yield pdf.assign(found=[[dict(zip(names, r, strict=True)) for r in recognize(t or "")] for t in pdf["text"]])
 
-    return documents.select("document_id", "text").mapInPandas(run, "document_id string, ord int, start int, end int, entity string, score double, recognizer string")
+    return documents.select("document_id", "text").mapInPandas(run, f"document_id string, text string, found {FOUND}")
 
 
-def engine_split(found: DataFrame, documents: DataFrame, ner: bool) -> DataFrame:
-    """The pattern or the ner half of an engine's rows as candidates; unmapped entities and empty spans go."""
-    spark = found.sparkSession
-    types = F.broadcast(spark.createDataFrame(list(config.ENTITY_MAP), "entity string, pii_type string"))
-    is_ner = F.col("recognizer").isin(list(config.NER_RECOGNIZERS))
-    rows = found.where(is_ner if ner else ~is_ner).where("end > start").join(types, "entity").join(documents.select("document_id", F.col("text").alias("__t")), "document_id")
+def engine_half(text: Column | str, found: Column | str, ner: bool) -> Column:
+    """``array<candidate>``: the pattern or the ner half of what an engine found; unmapped entities and empty spans go."""
+    text, found = tx.as_column(text), tx.as_column(found)
+    types = F.create_map(*[F.lit(x) for pair in config.ENTITY_MAP for x in pair])
     kind, who = ("ner", "presidio.ner") if ner else ("regex", "pattern.composite")
-    made = candidate(F.col("start"), F.col("end"), F.expr("substring(__t, start + 1, end - start)"), F.col("pii_type"), F.col("score"), F.lit(who), F.lit(kind), F.col("entity") if ner else None)
-    return rows.select("document_id", "ord", made.alias("c")).select("document_id", "ord", "c.*").select(*_COLUMNS)
+    kept = F.filter(found, lambda x: (x["recognizer"].isin(list(config.NER_RECOGNIZERS)) == F.lit(ner)) & (x["end"] > x["start"]) & F.try_element_at(types, x["entity"]).isNotNull())
+    return F.transform(kept, lambda x: candidate(x["start"], x["end"], F.substring(text, x["start"] + 1, x["end"] - x["start"]), F.try_element_at(types, x["entity"]), x["score"], F.lit(who), F.lit(kind), x["entity"] if ner else None))
 
 
 def gazetteer(terms: dict[str, tuple[str, ...]], score: float = 0.85) -> Callable[[], Engine]:

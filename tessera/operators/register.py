@@ -56,9 +56,9 @@ def ingest(grids: DataFrame) -> dict[str, DataFrame]:
     rows = sections(grids).join(sheets.select("sheet", "id"), "sheet")
     # ids follow the content, not a counter: reruns agree and no row waits for another
     key = F.xxhash64("id", "row_no")
-    macro = rows.select(key.alias("id"), F.col("id").alias("activity_id"), F.col("c0").alias("raw_text"), F.col("c2").alias("retention_text"), retention_months("c2").alias("retention_months"), "row_no", "c1")
-    categories = macro.select(F.xxhash64("id", F.lit(0)).alias("id"), F.col("id").alias("macro_category_id"), F.col("c1").alias("raw_text"), F.array().cast("array<string>").alias("pii_types"), F.lit("proposed").alias("mapping_state"))
-    return {"activities": sheets.select("id", "name", "purpose"), "macros": macro.drop("row_no", "c1"), "categories": categories}
+    macro = rows.select(key.alias("id"), F.col("id").alias("activity_id"), F.col("c0").alias("raw_text"), F.col("c2").alias("retention_text"), retention_months("c2").alias("retention_months"), F.col("row_no").cast("int").alias("position"), "c1")
+    categories = macro.select(F.xxhash64("id", F.lit(0)).alias("id"), F.col("id").alias("macro_category_id"), F.col("c1").alias("raw_text"), F.array().cast("array<string>").alias("pii_types"), F.lit("proposed").alias("mapping_state"), F.array().cast("array<int>").alias("position"))
+    return {"activities": sheets.select("id", "name", "purpose"), "macros": macro.drop("c1"), "categories": categories}
 
 
 def save(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def map_pass(categories: DataFrame, table=None) -> DataFrame:
     same = F.col("__p").isNull() | (F.size("__p") == 0) | ((F.size("__p") == 1) & (F.size(F.element_at("__p", 1)["pii_types"]) == 0))
     old = rows.where(same).drop("__p")
     new = rows.where(~same).select("*", F.posexplode("__p").alias("__k", "__x"))
-    made = new.select(F.xxhash64("id", F.col("__k") + 1).alias("id"), "macro_category_id", F.col("__x.text").alias("raw_text"), F.col("__x.pii_types").alias("pii_types"), F.lit("proposed").alias("mapping_state"))
+    made = new.select(F.xxhash64("id", F.col("__k") + 1).alias("id"), "macro_category_id", F.col("__x.text").alias("raw_text"), F.col("__x.pii_types").alias("pii_types"), F.lit("proposed").alias("mapping_state"), F.array_append("position", F.col("__k") + 1).alias("position"))
     return old.unionByName(made)
 
 
@@ -116,7 +116,7 @@ def split_category(categories: DataFrame, key: int, parts: list[tuple[str, list[
     spark = categories.sparkSession
     rows = spark.createDataFrame([(i + 1, t, ty) for i, (t, ty) in enumerate(parts)], "k int, t string, ty array<string>")
     one = categories.where(F.col("id") == key).crossJoin(F.broadcast(rows))  # the parts of one row
-    made = one.select(F.xxhash64("id", "k").alias("id"), "macro_category_id", F.col("t").alias("raw_text"), F.col("ty").alias("pii_types"), F.lit("proposed").alias("mapping_state"))
+    made = one.select(F.xxhash64("id", "k").alias("id"), "macro_category_id", F.col("t").alias("raw_text"), F.col("ty").alias("pii_types"), F.lit("proposed").alias("mapping_state"), F.array_append("position", F.col("k")).alias("position"))
     return categories.where(F.col("id") != key).unionByName(made)
 
 

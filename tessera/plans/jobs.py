@@ -20,22 +20,23 @@ Backend = Callable[[], Callable[[str], str]]
 def scan_documents(documents: DataFrame, pattern_rules: Iterable[config.Rule] = config.DEFAULT_RULES, engine: Callable[[], detect.Engine] | None = None, backend: Backend | None = None, ai_rate: int = 1) -> DataFrame:
     """``document_id, ord, match fields`` of ``documents(document_id, text)``.
 
-    With patterns only, everything stays in one row expression: no shuffle.  An engine adds
-    its pattern and ner halves, a backend the language-model pass over a sample.
+    Patterns and the engine's halves are one row expression: no shuffle, and the engine runs
+    once a document.  A backend adds the language-model pass over a sample.
     """
-    if engine is None and backend is None:
-        none = F.array().cast(f"array<{detect.CANDIDATE}>")
-        made = fuse.fuse(detect.rule_candidates("text", pattern_rules), none)
-        return documents.select("document_id", F.posexplode(made).alias("ord", "m")).select("document_id", "ord", "m.*")
-    regex = detect.regex_detect(documents, pattern_rules)
+    none = F.array().cast(f"array<{detect.CANDIDATE}>")
+    regex, ner = detect.rule_candidates("text", pattern_rules), none
+    rows = documents
     if engine is not None:
-        found = detect.engine_candidates(documents, engine)
-        regex = detect.composite(regex, detect.engine_split(found, documents, ner=False))
-        ner = detect.engine_split(found, documents, ner=True)
-    else:
-        ner = regex.limit(0)
-    ai = None if backend is None else detect.llm_detect(detect.ai_sample(documents, ai_rate), backend)
-    return fuse.fused(regex, ner, ai)
+        rows = detect.engine_found(documents, engine)
+        regex = F.concat(regex, detect.engine_half("text", "found", ner=False))
+        ner = detect.engine_half("text", "found", ner=True)
+    if backend is None:
+        made = fuse.fuse(regex, ner)
+        return rows.select("document_id", F.posexplode(made).alias("ord", "m")).select("document_id", "ord", "m.*")
+    ai = fuse.gather(detect.llm_detect(detect.ai_sample(documents, ai_rate), backend), "a")
+    both = rows.select("document_id", regex.alias("r"), ner.alias("n")).join(ai, "document_id", "left")
+    made = fuse.fuse(F.col("r"), F.col("n"), F.col("a"))
+    return both.select("document_id", F.posexplode(made).alias("ord", "m")).select("document_id", "ord", "m.*")
 
 
 def scan_text(spark: SparkSession, text: str, **options) -> DataFrame:

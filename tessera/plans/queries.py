@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, schemas
 from ..functions import checks, dates, phrases
 from ..functions import text as tx
 from ..operators import comply, detect, freshness, fuse, register, registry, rules, score
@@ -158,14 +158,14 @@ def rule_catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("annotated_parse", r"""
-with t as (select doc_id, '{{person_name:' || lang || doc_id || '}} wrote {{address :' || chr(10) || source || '}} ' || substr(text, 1, 50) as s from documents),
+with t as (select doc_id, '{{person_name:' || lang || doc_id || '}} wrote {{address :' || chr(10) || source || '}} ' || text as s from documents),
 p as (select doc_id, regexp_extract_all(s, '(?s)\{\{(.*?):(.*?)\}\}', 1) as k, regexp_extract_all(s, '(?s)\{\{(.*?):(.*?)\}\}', 2) as v, regexp_split_to_array(s, '(?s)\{\{(.*?):(.*?)\}\}') as g,
   regexp_replace(s, '(?s)\{\{(.*?):(.*?)\}\}', '\2', 'g') as clean from t)
 select doc_id, clean, trim(k[i + 1]) as pii_type,
   (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i], lambda x: length(x))), 0))::int as start, v[i + 1] as value
 from (select *, unnest(range(len(k))) as i from p)""")
 def annotated_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(tx.annotate(F.lit("person_name"), F.concat("lang", "doc_id")), F.lit(" wrote "), F.lit("{{address :\n"), "source", F.lit("}} "), F.substring("text", 1, 50))
+    marked = F.concat(tx.annotate(F.lit("person_name"), F.concat("lang", "doc_id")), F.lit(" wrote "), F.lit("{{address :\n"), "source", F.lit("}} "), "text")
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.annotated(marked).alias("a")).select("doc_id", F.col("a.text").alias("clean"), F.explode("a.spans").alias("s"))
     return rows.select("doc_id", "clean", "s.pii_type", "s.start", F.expr("substring(clean, s.start + 1, s.end - s.start)").alias("value"))
 
@@ -217,7 +217,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id with the strict candidates ``r``, the loose ones ``n`` and a third source ``a``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.transform(detect.rule_candidates("text", _LOOSE), lambda c: c.withField("detector_kind", F.lit("ner")).withField("detector_id", F.lit("presidio.ner")))
-    a = F.transform(detect.rule_candidates("text", (BY_ID["email"], config.Rule("any_number", "phone", r"\d{3,}[\d .-]*\d", 0.6))), lambda c: c.withField("detector_kind", F.lit("ai")).withField("detector_id", F.lit("ai.llm")))
+    a = F.transform(detect.rule_candidates("text", (BY_ID["email"], _ANY_NUMBER)), lambda c: c.withField("detector_kind", F.lit("ai")).withField("detector_id", F.lit("ai.llm")))
     return d.select("doc_id", detect.rule_candidates("text").alias("r"), n.alias("n"), a.alias("a"))
 
 
@@ -254,19 +254,65 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("document_id").alias("doc_id"), F.col("a.start").alias("a_start"), F.col("b.start").alias("b_start"), F.round("iou", 6).alias("iou"))
 
 
-@query("fusion_matches")
+def _cands_sql(rs: tuple[config.Rule, ...], cte: str, detector: str | None = None) -> str:
+    """CTE of the candidates of several rules, in order, as one list a document."""
+    one = lambda k, r: f"""select doc_id, {k} as rule_no, i, (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::int as s, length(m[i + 1])::int as n,
+      '{r.pii_type}' as t, {r.base_confidence}::double as c, '{detector or f"regex.{r.rule_id}"}' as d
+      from (select doc_id, unnest(range(len(m))) as i, m, g from (select doc_id, regexp_extract_all(text, '{EMAIL_SQL if r.rule_id == "email" else r.pattern}') as m, regexp_split_to_array(text, '{EMAIL_SQL if r.rule_id == "email" else r.pattern}') as g from documents))"""
+    return f"""{cte} as (select doc_id, list({{'s': s, 'e': s + n, 't': t, 'c': c, 'd': d}} order by rule_no, i) as l from ({' union all '.join(one(k, r) for k, r in enumerate(rs))}) group by doc_id)"""
+
+
+_ANY_NUMBER = config.Rule("any_number", "phone", r"\d{3,}[\d .-]*\d", 0.6)
+_NO_CANDIDATE = "[]::struct(s int, e int, t varchar, c double, d varchar)[]"
+
+
+def _best_sql(x: str, among: str, free: str = "true") -> str:
+    """The place, from 0, of the span of a list that overlaps most with ``x``; null where none does by half."""
+    y = f"{among}[k + 1]"
+    iou = f"case when least({x}.e, {y}.e) > greatest({x}.s, {y}.s) then (least({x}.e, {y}.e) - greatest({x}.s, {y}.s)) / (greatest({x}.e, {y}.e) - least({x}.s, {y}.s))::double else 0 end"
+    return f"(list_sort(list_filter(list_transform(range(len({among})), lambda k: {{'v': -({iou}), 'k': k::int}}), lambda z: z.v <= -0.5 and {free})))[1].k"
+
+
+#: One step a pattern candidate: its best free partner is taken.
+_FUSED = f"""with recursive {_cands_sql(config.DEFAULT_RULES, 'rc')}, {_cands_sql(_LOOSE, 'nc', 'presidio.ner')}, {_cands_sql((BY_ID['email'], _ANY_NUMBER), 'ac', 'ai.llm')},
+j as (select d.doc_id, coalesce(rc.l, {_NO_CANDIDATE}) as r, coalesce(nc.l, {_NO_CANDIDATE}) as n, coalesce(ac.l, {_NO_CANDIDATE}) as a from documents d left join rc using (doc_id) left join nc using (doc_id) left join ac using (doc_id) where rc.l is not null or nc.l is not null or ac.l is not null),
+st as (select doc_id, r, n, 0 as i, []::int[] as used, []::int[] as p from j
+  union all select doc_id, r, n, i + 1, case when b is null then used else list_append(used, b) end, list_append(p, b) from (select *, {_best_sql('r[i + 1]', 'n', 'not list_contains(used, z.k)')} as b from st where i < len(r))),
+parts as (select doc_id, r[i + 1] as x, n[p[i + 1] + 1] as y, i, used, n from (select *, unnest(range(len(r))) as i from (select * exclude (i) from st where i = len(r)))),
+one as (
+  select doc_id, 0 as part, i, 0 as sub, x as z, least(1.0, greatest(x.c, y.c) + 0.15) as conf, 'double_confirmed' as level, [x.d, y.d] as src from parts where x.t = y.t
+  union all select doc_id, 0, i, 0, x, x.c, case when y is null then 'single_source' else 'conflicting' end, [x.d] from parts where y is null or x.t <> y.t
+  union all select doc_id, 0, i, 1, y, y.c, 'conflicting', [y.d] from parts where x.t <> y.t
+  union all select doc_id, 1, i, 0, n[i + 1], n[i + 1].c, 'single_source', [n[i + 1].d] from (select doc_id, n, used, unnest(range(len(n))) as i from st where i = len(r)) where not list_contains(used, i)),
+fused as (select doc_id, (row_number() over (partition by doc_id order by part, i, sub) - 1)::int as ord, z.s as s, z.e as e, z.t as t, conf, level, src from one)"""
+_MATCH_COLUMNS = 'doc_id, ord, s as "start", e as "end", t as pii_type, round(conf, 6) as confidence, level, array_to_string(src, \'+\') as sources'
+
+#: One step a language-model candidate, over the list of what was there before and what came to it.
+_ABSORBED = f"""{_FUSED},
+fl as (select doc_id, list({{'s': s, 'e': e, 't': t, 'c': conf, 'l': level, 'src': src}} order by ord) as m from fused group by doc_id),
+sa as (select j.doc_id, j.a, coalesce(fl.m, []) as m, len(coalesce(fl.m, [])) as old, 0 as i from j left join fl using (doc_id)
+  union all select doc_id, a, case
+      when b is null then list_append(m, {{'s': x.s, 'e': x.e, 't': x.t, 'c': x.c, 'l': 'ai_discovered', 'src': [x.d]}})
+      when m[b + 1].t <> x.t then list_append(list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 't': m[k + 1].t, 'c': m[k + 1].c, 'l': case when m[k + 1].l = 'single_source' then 'conflicting' else m[k + 1].l end, 'src': m[k + 1].src}} else m[k + 1] end), {{'s': x.s, 'e': x.e, 't': x.t, 'c': x.c, 'l': 'conflicting', 'src': [x.d]}})
+      when list_contains(m[b + 1].src, x.d) then m
+      else list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 't': m[k + 1].t, 'c': least(1.0, m[k + 1].c + 0.15), 'l': case when m[k + 1].l = 'single_source' then 'double_confirmed' else m[k + 1].l end, 'src': list_append(m[k + 1].src, x.d)}} else m[k + 1] end) end, old, i + 1
+    from (select *, a[i + 1] as x, {_best_sql('a[i + 1]', 'm[1:old]')} as b from sa where i < len(a))),
+absorbed as (select doc_id, k::int as ord, m[k + 1].s as s, m[k + 1].e as e, m[k + 1].t as t, m[k + 1].c as conf, m[k + 1].l as level, m[k + 1].src as src from (select doc_id, m, unnest(range(len(m))) as k from sa where i = len(a)))"""
+
+
+@query("fusion_matches", f"{_FUSED} select {_MATCH_COLUMNS} from fused")
 def fusion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _sides(spark, sf_dir).select("doc_id", F.posexplode(fuse.fuse(F.col("r"), F.col("n"))).alias("ord", "m"))
     return m.select("doc_id", "ord", "m.start", "m.end", "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
 
 
-@query("fusion_levels")
+@query("fusion_levels", f"{_FUSED} select level, t as pii_type, count(*) as n from fused group by all")
 def fusion_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _sides(spark, sf_dir).select(F.explode(fuse.fuse(F.col("r"), F.col("n"))).alias("m"))
     return m.groupBy("m.level", "m.pii_type").agg(F.count("*").alias("n"))
 
 
-@query("ai_absorb")
+@query("ai_absorb", f"{_ABSORBED} select {_MATCH_COLUMNS} from absorbed")
 def ai_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _sides(spark, sf_dir).select("doc_id", F.posexplode(fuse.fuse(F.col("r"), F.col("n"), F.col("a"))).alias("ord", "m"))
     return m.select("doc_id", "ord", "m.start", "m.end", "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
@@ -418,11 +464,11 @@ def activities(spark: SparkSession) -> DataFrame:
 
 
 def macros(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MACROS), "id long, activity_id string, raw_text string, retention_text string, retention_months int")
+    return spark.createDataFrame([(*m, k) for k, m in enumerate(MACROS)], schemas.MACRO)
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATEGORIES), "id long, macro_category_id long, raw_text string, pii_types array<string>, mapping_state string")
+    return spark.createDataFrame([(*c, [k]) for k, c in enumerate(CATEGORIES)], schemas.CATEGORY)
 
 
 _RETENTION_TEXTS = ("5 years from the payment", "2 anni", "6 months", "24 mesi", "1 year", "5 ans a compter", "1 an", "6 mois", "2 anni e 6 mesi", "a criterio", "N/A", "", "1 annata", "12MONTHS", "10  Years")

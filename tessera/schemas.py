@@ -13,9 +13,10 @@ SCAN = "id long, document_id string, created_at timestamp"
 INSTANCE = "id long, document_id string, pii_type string, start int, end int, confidence double, confirmation_level string, sources array<string>, processing_activity_id string, last_scan_id long"
 RULE = "prefix string, activity_ids array<string>, created_at timestamp"
 
+#: ``position`` keeps the order of the sheet: the row of a macro category, and of a category the path of its parts.
 ACTIVITY = "id string, name string, purpose string"
-MACRO = "id long, activity_id string, raw_text string, retention_text string, retention_months int"
-CATEGORY = "id long, macro_category_id long, raw_text string, pii_types array<string>, mapping_state string"
+MACRO = "id long, activity_id string, raw_text string, retention_text string, retention_months int, position int"
+CATEGORY = "id long, macro_category_id long, raw_text string, pii_types array<string>, mapping_state string, position array<int>"
 
 #: What may never be written to the registry.
 FORBIDDEN = ("text", "value", "rationale", "raw_label")

@@ -219,11 +219,11 @@ def test_ai_sampling(spark):
     assert [detect.sampling_rate(x) for x in (None, "x", "-3", "5")] == [0, 0, 0, 5] and [detect.token_cap(x) for x in (None, "0", "x", "9")] == [1024, 1024, 1024, 9]
 
 
-def test_engine_runs_once_and_splits(spark):
+def test_engine_splits(spark):
     engine = lambda: lambda t: [(0, 3, "PERSON", 0.9, "SpacyRecognizer"), (0, 3, "EMAIL_ADDRESS", 0.5, "EmailRecognizer"), (0, 3, "NRP", 0.9, "SpacyRecognizer"), (2, 2, "PERSON", 0.9, "GLiNERRecognizer")]
     df = spark.createDataFrame([("d", "Ada x")], "document_id string, text string")
-    found = detect.engine_candidates(df, engine)
-    n, p = detect.engine_split(found, df, True).collect(), detect.engine_split(found, df, False).collect()
+    found = detect.engine_found(df, engine)
+    n, p = (found.select(F.inline(detect.engine_half("text", "found", ner))).collect() for ner in (True, False))
     assert [(r.pii_type, r.text, r.raw_label) for r in n] == [("person_name", "Ada", "PERSON")]
     assert [(r.pii_type, r.detector_id, r.raw_label) for r in p] == [("email", "pattern.composite", None)]
     bad = detect.regex_detect(df, [config.Rule("x", "email", "Ada")]).withColumn("end", F.lit(99))
@@ -231,6 +231,25 @@ def test_engine_runs_once_and_splits(spark):
         detect.checked(bad, df).collect()
 
 
+@pytest.mark.parametrize("with_ai", [False, True])
+def test_engine_runs_once_a_document(spark, tmp_path, with_ai):
+    calls = tmp_path / "calls"
+
+    def engine():
+        def recognize(text):
+            with open(calls, "a") as f:
+                f.write("x")
+            return [(0, 3, "PERSON", 0.9, "SpacyRecognizer"), (4, 7, "EMAIL_ADDRESS", 0.5, "EmailRecognizer")]
+
+        return recognize
+
+    df = spark.createDataFrame([(str(i), f"Ada {i:03d} x") for i in range(20)], "document_id string, text string").repartition(3)
+    backend = (lambda: lambda prompt: '[{"value": "Ada", "pii_type": "person_name", "rationale": ""}]') if with_ai else None
+    got = jobs.scan_documents(df, engine=engine, backend=backend).collect()
+    assert len(got) == 40 and sum(r.level == "double_confirmed" for r in got) == 20 * with_ai
+    assert calls.read_text() == "x" * 20
+
+
 # --- rules, verdicts --------------------------------------------------------------------
 
 
@@ -256,8 +275,8 @@ def verdict(spark, declared, found, age=None, ids=None, proposed=False):
     """``declared``: (activity, types, months, state) rows."""
     acts = list(dict.fromkeys(d[0] for d in declared))
     a = spark.createDataFrame([(x, x, "") for x in acts], schemas.ACTIVITY)
-    m = spark.createDataFrame([(i, d[0], "macro", "", d[2]) for i, d in enumerate(declared)], schemas.MACRO)
-    c = spark.createDataFrame([(i, i, f"words {i}", d[1], d[3]) for i, d in enumerate(declared)], schemas.CATEGORY)
+    m = spark.createDataFrame([(i, d[0], "macro", "", d[2], i) for i, d in enumerate(declared)], schemas.MACRO)
+    c = spark.createDataFrame([(i, i, f"words {i}", d[1], d[3], []) for i, d in enumerate(declared)], schemas.CATEGORY)
     date = F.lit(None).cast("timestamp") if age is None else F.timestamp_seconds(F.unix_timestamp(now()) - age * 86400)
     d = spark.createDataFrame([("d", ids or acts)], "document_id string, activity_ids array<string>").withColumn("reference_date", date)
     i = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(found)], "document_id string, id long, pii_type string")
@@ -288,6 +307,20 @@ def test_verdicts(spark):
     assert r.retention_unresolved == [] and r.missing == ["iban"]
 
 
+def test_unresolved_keep_the_order_of_the_sheet(spark):
+    rows = [["Name of the processing operation", "Pay"], ["Categories of personal data"], *[["Group", f"unknown{i % 6}", "1 year"] for i in range(12)]]
+    grid = spark.createDataFrame([("s", k, r) for k, r in enumerate(rows)], "sheet string, row_no int, cells array<string>").repartition(3)
+    made = register.ingest(grid)
+    cats = register.map_pass(made["categories"])
+    docs = spark.createDataFrame([("d", ["pay"])], "document_id string, activity_ids array<string>")
+    got = comply.unresolved(docs, made["macros"], cats, include_proposed=True).first().unresolved
+    assert got == [f"unknown{i % 6}" for i in range(12)]
+    key = cats.where("raw_text = 'unknown3'").first().id
+    parts = register.split_category(cats, key, [("z part", []), ("a part", [])])
+    got = comply.unresolved(docs, made["macros"], parts, include_proposed=True).first().unresolved
+    assert [x for x in got if "part" in x] == ["z part", "a part"] and got.index("z part") in (3, 9)
+
+
 def test_verdict_errors(spark):
     d = spark.createDataFrame([("d", [], None)], "document_id string, activity_ids array<string>, reference_date timestamp")
     none = [spark.createDataFrame([], s) for s in (schemas.INSTANCE, schemas.ACTIVITY, schemas.MACRO, schemas.CATEGORY)]
