@@ -6,15 +6,21 @@
 2. In each shard a flat graph is built: nearest candidates, robust pruning, reverse edges.
    The adjacency lists that a class gets in its shards are united.
 3. Every class is a query of each of its shards: a beam search walks greedily from the
-   shard's medoid, and wherever it meets a vector within the range the search expands
-   through all neighbours of such vectors until no new one appears.  Cosines are verified
-   in double precision.  A cluster of many blocks is searched block by block.
+   shard's medoid and from the class's own neighbours in the united graph, and wherever it
+   meets a vector within the range the search expands through all neighbours of such vectors
+   until no new one appears.  Cosines are verified in double precision.
 4. A pair is counted in the first cluster that both have, so nothing is counted twice,
    and a shard returns counts and a spanning forest of its links, never all pairs.
-5. Audit: queries are drawn and compared exactly with all vectors until ``AUDIT`` of them
-   have links, or all are drawn.  If the graph found less than ``RECALL`` of these links, the
-   search is repeated with twice the overlap, and after the last one all blocks of all
-   vectors are compared exactly.
+5. Audit: queries (those whose id is divisible by 50 first) are drawn and compared exactly
+   with all vectors until ``AUDIT`` of them have links, or all are drawn.  If the graph found
+   less than ``RECALL`` of these links, the search is repeated with twice the overlap, and
+   after the last one all blocks of all vectors are compared exactly.
+
+A search stays in its shard: a walk over the whole united graph would be a join of all
+queries with the graph for every hop, many times the input in shuffles.  The united lists
+bring what other shards know of a class's neighbourhood into each of its searches.  Vectors
+travel in their own precision, once to build and once to search; a cluster of b blocks sends
+each of them b times, as its pairs of blocks are searched one by one.
 
 Defined results: null, empty, zero or non-finite vectors and rows without a vec_id link
 with nothing; vectors of different lengths don't link; repeated rows of one vec_id count
@@ -31,56 +37,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import components, cut
+from ._cluster import components, cut, drop_cut
 
 COSINE = 0.9
 #: Vectors that give the centres, at most; clusters, at most; aimed size of a cluster; size of a block.
-SAMPLE, CLUSTERS, AIM, BLOCK = 8192, 2048, 400, 1024
-OVERLAP = 3
+SAMPLE, CLUSTERS, AIM, BLOCK = 8192, 2048, 400, 4096
+#: Queries that a shard searches at once.
+AT_ONCE = 512
+OVERLAP = 2
 #: Of the graph: candidates, neighbours after pruning, the pruning's slack, width of the beam.
-CANDIDATES, DEGREE, ALPHA, BEAM = 40, 16, 1.2, 24
+CANDIDATES, DEGREE, ALPHA, BEAM = 40, 16, 1.2, 16
 #: Audited queries that have links and the share of these that must be found.
-AUDIT, RECALL = 64, 0.95
+AUDIT, RECALL = 256, 0.95
 #: Queries that one pass over all vectors compares, at most; the overlap after which the comparison is exact.
 DRAWN, LAST = 4096, 32
 
 
+def _unit(raw: list[bytes], dtype: type) -> np.ndarray:
+    """Unit rows in double precision of vectors of one length."""
+    v = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)  # no overflow in the norm
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _dtype(df: DataFrame) -> type:
+    """What holds the numbers of the column ``embedding`` without loss."""
+    return np.float32 if df.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
 def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``vec_id, cls`` of every row, null without a usable vector; ``cls, rep, mult, vec`` of every class).
 
-    ``vec`` holds the unit vector as doubles, ``rep`` the least vec_id.
+    ``vec`` holds the numbers as they are, ``rep`` the least vec_id.
     """
+    dtype = _dtype(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, vec = [], []
-            for x in batch.column(1):
-                v = np.array(x.as_py() or [0.0], dtype=np.float64)
-                norm = 0.0
-                if np.isfinite(v).all():
-                    top = np.abs(v).max()
-                    if top > 0:
-                        v = v / top  # no overflow in the norm
-                        norm = float(np.linalg.norm(v))
-                raw = (v / norm).tobytes() if norm > 0 else None
-                cls.append(None if raw is None else hashlib.blake2b(v.tobytes() + np.float64(top).tobytes(), digest_size=16).digest())
-                vec.append(raw)
+            column = batch.column(1)
+            lens = np.asarray(column.value_lengths().fill_null(0))
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)  # nulls are NaN
+            first = np.cumsum(lens) - lens
+            vec: list[bytes | None] = [None] * len(lens)
+            for n in np.unique(lens[lens > 0]).tolist():
+                rows = np.flatnonzero(lens == n)
+                v = values[first[rows][:, None] + np.arange(n)]
+                good = np.isfinite(v).all(1) & (v != 0).any(1)
+                for i, x in zip(rows[good].tolist(), v[good], strict=True):
+                    vec[i] = x.tobytes()
+            cls = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in vec]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(vec, pa.binary())], names=["vec_id", "cls", "vec"])
 
-    own = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    kind = "array<float>" if dtype is np.float32 else "array<double>"
+    own = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     named = own.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = cut(named.mapInArrow(run, "vec_id long, cls binary, vec binary"))
     groups = rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
     return rows.select("vec_id", "cls"), cut(groups)
 
 
-def centres(groups: DataFrame) -> dict[int, np.ndarray]:
-    """Cluster centres by vector length, from a bounded sample (spherical k-means)."""
+def centres(groups: DataFrame, dtype: type) -> dict[int, np.ndarray]:
+    """Cluster centres by the bytes of a vector, from a bounded sample (spherical k-means)."""
     n = groups.count()
     sample = groups.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").collect()
     out: dict[int, np.ndarray] = {}
     for size in sorted({len(r.vec) for r in sample}):
-        x = np.stack([np.frombuffer(r.vec) for r in sample if len(r.vec) == size]).astype(np.float32)
+        x = _unit([bytes(r.vec) for r in sample if len(r.vec) == size], dtype).astype(np.float32)
         k = int(np.clip(round(n / AIM), 1, min(CLUSTERS, max(1, len(x) // 4))))
         c = x[np.random.default_rng(2).permutation(len(x))[:k]]
         for _ in range(6):
@@ -93,22 +115,26 @@ def centres(groups: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def assigned(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """``rep, mult, vec, clusters``: the nearest clusters of each class, as numbers with the vector length."""
+def assigned(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int, dtype: type) -> DataFrame:
+    """``rep, mult, vec, clusters``: the nearest clusters of each class in order, as numbers with the vector's bytes."""
     sent = groups.sparkSession.sparkContext.broadcast(middle)  # at most CLUSTERS centres a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x in batch.column(2):
-                raw = x.as_py()
-                c = sent.value.get(len(raw))
+            raw = batch.column(2).to_pylist()
+            lens = np.array([len(x) for x in raw])
+            found: list[list[int]] = [[] for _ in raw]
+            for size in np.unique(lens).tolist():
+                rows = np.flatnonzero(lens == size).tolist()
+                c = sent.value.get(size)
                 if c is None:  # a length that the sample doesn't hold
-                    found.append([len(raw) * 100_000])
-                    continue
-                sims = c @ np.frombuffer(raw).astype(np.float32)
-                k = min(overlap, len(sims))
-                found.append([len(raw) * 100_000 + int(j) for j in sorted(np.argpartition(-sims, k - 1)[:k])])
+                    near = np.zeros((len(rows), 1), np.int64)
+                else:
+                    k = min(overlap, len(c))
+                    sims = _unit([raw[i] for i in rows], dtype).astype(np.float32) @ c.T
+                    near = np.sort(np.argpartition(-sims, k - 1, axis=1)[:, :k], axis=1)
+                for i, x in zip(rows, (size * 100_000 + near).tolist(), strict=True):
+                    found[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["rep", "mult", "vec", "clusters"])
 
     return groups.select("rep", "mult", "vec").mapInArrow(run, "rep long, mult long, vec binary, clusters array<long>")
@@ -119,7 +145,7 @@ def build(v: np.ndarray) -> list[np.ndarray]:
     n = len(v)
     if n == 1:
         return [np.zeros(0, np.int64)]
-    s = v @ v.T
+    s = v.astype(np.float32) @ v.T.astype(np.float32)
     np.fill_diagonal(s, -np.inf)
     k = min(CANDIDATES, n - 1)
     cand = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -149,11 +175,10 @@ def build(v: np.ndarray) -> list[np.ndarray]:
     return [np.array(sorted(x), np.int64) for x in both]
 
 
-def search(v: np.ndarray, pointers: np.ndarray, flat: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within the range.  ``own``: the node of each query, or -1.
+def search(v: np.ndarray, pointers: np.ndarray, flat: np.ndarray, q: np.ndarray, start: tuple[np.ndarray, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) within the range.  ``start``: pairs to begin with beside the medoid.
 
-    All queries advance together: greedy steps from the medoid with a beam, then expansion
-    of everything in range.
+    All queries advance together: greedy steps with a beam, then expansion of everything in range.
     """
     n, m = len(v), len(q)
     seen = np.zeros((m, n), bool)
@@ -180,8 +205,7 @@ def search(v: np.ndarray, pointers: np.ndarray, flat: np.ndarray, q: np.ndarray,
     medoid = int(np.argmax(v @ v.sum(0)))
     everyone = np.arange(m)
     visit(everyone, np.full(m, medoid))
-    have = np.flatnonzero(own >= 0)
-    visit(have, own[have])
+    visit(*start)
     expanded = np.zeros((m, n), bool)
     width = min(BEAM, n)
     for _ in range(4 * BEAM):
@@ -204,111 +228,125 @@ def search(v: np.ndarray, pointers: np.ndarray, flat: np.ndarray, q: np.ndarray,
     return np.nonzero(sims >= cosine)
 
 
-def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Links that join something new, in order."""
-    up: dict[int, int] = {}
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the links between nodes 0 .. n - 1, for all but the least."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label < np.arange(n))
+    return node, label[node]
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    kept = []
-    for x, y in zip(a, b, strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a list column."""
+    column = column.combine_chunks()
+    return np.asarray(column.value_lengths().fill_null(0)), np.asarray(column.flatten())
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.frombuffer(x) for x in column.to_pylist()])
+def _built(dtype: type):
+    def run(table: pa.Table) -> pa.Table:
+        rep = table["rep"].to_numpy()
+        order = np.argsort(rep)
+        adj = build(_unit(table["vec"].to_pylist(), dtype)[order])
+        rep = rep[order]
+        return pa.table({"rep": rep, "near": pa.array([rep[x] for x in adj], pa.list_(pa.int64()))})
 
+    return run
 
-def _built(table: pa.Table) -> pa.Table:
-    rep = table["rep"].to_numpy()
-    order = np.argsort(rep)
-    adj = build(_matrix(table["vec"])[order])
-    rep = rep[order]
-    return pa.table({"rep": rep, "near": pa.array([rep[x] for x in adj], pa.list_(pa.int64()))})
 
+def _searched(cosine: float, dtype: type, walk: bool):
+    """Two blocks of a shard, or one with itself: counts and a forest of the links between them."""
 
-def _searched(cosine: float, walk: bool):
     def run(table: pa.Table) -> pa.Table:
-        empty = pa.table({"rep": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        shard = table["shard"][0].as_py()
-        role = table["node"].to_numpy(zero_copy_only=False)
-        rows, own_rows = np.flatnonzero(role), np.flatnonzero(~role)
-        if len(rows) == 0 or len(own_rows) == 0:
-            return empty
-        nodes, asks = table.take(pa.array(rows)), table.take(pa.array(own_rows))
-        rep, vec, mult = nodes["rep"].to_numpy(), _matrix(nodes["vec"]), nodes["mult"].to_numpy()
-        order = np.argsort(rep)
-        rep, vec, mult = rep[order], vec[order], mult[order]
-        place = {r: i for i, r in enumerate(rep.tolist())}
-        near = nodes["near"].to_pylist()
-        near = [[place[x] for x in near[i] if x in place] for i in order.tolist()]
-        pointers = np.concatenate([[0], np.cumsum([len(x) for x in near])])
-        flat = np.array([y for x in near for y in x], np.int64)
-        clusters = [set(x) for x in nodes["clusters"].to_pylist()]
-        clusters = [clusters[i] for i in order.tolist()]
-        ask, q = asks["rep"].to_numpy(), _matrix(asks["vec"])
-        asked = [set(x) for x in asks["clusters"].to_pylist()]
-        own = np.array([place.get(x, -1) for x in ask.tolist()], np.int64)
-        counts, a, b = np.zeros(len(ask), np.int64), [], []
-        for i in range(0, len(ask), BLOCK):
+        shard, i, j = (table[c][0].as_py() for c in ("shard", "i", "j"))
+        block, rep = table["block"].to_numpy(), table["rep"].to_numpy()
+        order = np.lexsort((rep, block))
+        table, block, rep = table.take(pa.array(order)), block[order], rep[order]
+        vec, mult = _unit(table["vec"].to_pylist(), dtype), table["mult"].to_numpy()
+        lens, values = _lists(table["clusters"])
+        clusters = np.full((len(rep), max(int(lens.max()), 1)), -1)
+        clusters[np.repeat(np.arange(len(rep)), lens), np.arange(len(values)) - np.repeat(np.cumsum(lens) - lens, lens)] = values
+        asks, nodes = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if len(asks) == 0 or len(nodes) == 0:
+            asks = asks[:0]
+        # the united lists, cut to the block of nodes; where rows stand is found by their rep
+        lens, near = _lists(table["near"])
+        here = rep[nodes]
+        at = np.minimum(np.searchsorted(here, near), max(len(here) - 1, 0))
+        inside = here[at] == near if len(here) else np.zeros(len(near), bool)
+        row, to = np.repeat(np.arange(len(rep)), lens)[inside], at[inside]
+        per_row = np.bincount(row, minlength=len(rep))
+        first = np.concatenate([[0], np.cumsum(per_row)])
+        pointers = np.concatenate([[0], np.cumsum(per_row[nodes])])
+        flat = np.concatenate([to[first[x] : first[x + 1]] for x in nodes.tolist()] or [to[:0]])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(asks), AT_ONCE):
+            part = asks[k : k + AT_ONCE]
             if walk:
-                x, y = search(vec, pointers, flat, q[i : i + BLOCK], own[i : i + BLOCK], cosine)
+                begin = np.repeat(np.arange(len(part)), per_row[part]), np.concatenate([to[first[x] : first[x + 1]] for x in part.tolist()])
+                if i == j:
+                    begin = np.append(begin[0], np.arange(len(part))), np.append(begin[1], np.arange(k, k + len(part)))
+                x, y = search(vec[nodes], pointers, flat, vec[part], begin, cosine)
             else:
-                x, y = np.nonzero(q[i : i + BLOCK] @ vec.T >= cosine)
-            x = x + i
-            for p, r in zip(x.tolist(), y.tolist(), strict=True):
-                # a pair counts in the first cluster that both have
-                if ask[p] != rep[r] and min(asked[p] & clusters[r]) == shard:
-                    counts[p] += mult[r]
-                    a.append(int(ask[p]))
-                    b.append(int(rep[r]))
-        joined = _forest(a, b)
-        n = len(ask)
+                x, y = np.nonzero(vec[part] @ vec[nodes].T >= cosine)
+            x, y = part[x], nodes[y]
+            # a pair counts in the first cluster that both have
+            other = rep[x] != rep[y]
+            for p in range(clusters.shape[1]):
+                for r in range(clusters.shape[1]):
+                    other &= ~((clusters[x, p] == clusters[y, r]) & (clusters[x, p] >= 0) & (clusters[x, p] < shard))
+            a.append(np.minimum(x, y)[other])
+            b.append(np.maximum(x, y)[other])
+        # whichever end found it
+        pairs = np.unique(np.concatenate(a) * len(rep) + np.concatenate(b))
+        a, b = pairs // max(len(rep), 1), pairs % max(len(rep), 1)
+        counts = np.zeros(len(rep), np.int64)
+        np.add.at(counts, a, mult[b])
+        np.add.at(counts, b, mult[a])
+        some, (u, v) = np.flatnonzero(counts), _forest(len(rep), a, b)
+        none_n, none_u = pa.nulls(len(some), pa.int64()), pa.nulls(len(u), pa.int64())
         return pa.table({
-            "rep": pa.array([*ask.tolist(), *[None] * len(joined)], pa.int64()),
-            "n": pa.array([*counts.tolist(), *[None] * len(joined)], pa.int64()),
-            "u": pa.array([None] * n + [x for x, _ in joined], pa.int64()),
-            "v": pa.array([None] * n + [y for _, y in joined], pa.int64()),
+            "rep": pa.chunked_array([pa.array(rep[some]), none_u]), "n": pa.chunked_array([pa.array(counts[some]), none_u]),
+            "u": pa.chunked_array([none_n, pa.array(rep[u])]), "v": pa.chunked_array([none_n, pa.array(rep[v])]),
         })
 
     return run
 
 
-def linked(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int, cosine: float, walk: bool = True) -> DataFrame:
+def linked(groups: DataFrame, middle: dict[int, np.ndarray], overlap: int, cosine: float, dtype: type, walk: bool = True) -> DataFrame:
     """``rep, n`` (links of a class to other classes, copies counted) and, in other rows, ``u, v`` of a spanning forest.
 
     Without ``walk`` the blocks of a cluster are compared exactly.
     """
-    members = cut(assigned(groups, middle, overlap))
+    members = cut(assigned(groups, middle, overlap, dtype))
     spread = members.select("*", F.explode("clusters").alias("shard"))
     sizes = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spread = spread.join(F.broadcast(cut(sizes)), "shard").withColumn("block", F.expr("pmod(xxhash64(rep, 77), blocks)"))  # sizes: a row a cluster
-    near = F.lit(None).cast("array<long>").alias("near")
-    built = spread.select("shard", "block", "rep", "vec").groupBy("shard", "block").applyInArrow(_built, "rep long, near array<long>")
-    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    nodes = spread.join(cut(united), "rep") if walk else spread.withColumn("near", F.expr("cast(array() as array<long>)"))
-    nodes = nodes.select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", "near")
-    asks = spread.select("shard", "block", "blocks", "rep", "mult", "vec", "clusters", near)
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    as_node = nodes.select("shard", F.col("block").alias("j"), other.alias("i"), "rep", "mult", "vec", "clusters", "near", F.lit(True).alias("node"))
-    as_query = asks.select("shard", other.alias("j"), F.col("block").alias("i"), "rep", "mult", "vec", "clusters", "near", F.lit(False).alias("node"))
-    tasks = as_node.unionByName(as_query.select(as_node.columns))
-    return tasks.groupBy("shard", "i", "j").applyInArrow(_searched(cosine, walk), "rep long, n long, u long, v long")
-
-
-def exact(groups: DataFrame, asked: list, cosine: float) -> dict[int, int]:
+    spread = spread.join(F.broadcast(cut(sizes)), "shard").withColumn("block", F.expr("pmod(xxhash64(rep, 77), blocks)").cast("int"))  # sizes: a row a cluster
+    if walk:
+        built = spread.select("shard", "block", "rep", "vec").groupBy("shard", "block").applyInArrow(_built(dtype), "rep long, near array<long>")
+        united = cut(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+        spread = members.join(united, "rep").select("*", F.explode("clusters").alias("shard")).join(F.broadcast(cut(sizes)), "shard").withColumn("block", F.expr("pmod(xxhash64(rep, 77), blocks)").cast("int"))
+    else:
+        spread = spread.withColumn("near", F.expr("cast(array() as array<long>)"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("k")
+    tasks = spread.select("shard", "block", other, "rep", "mult", "vec", "clusters", "near").withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).drop("k")
+    return tasks.groupBy("shard", "i", "j").applyInArrow(_searched(cosine, dtype, walk), "rep long, n long, u long, v long")
+
+
+def exact(groups: DataFrame, asked: list, cosine: float, dtype: type) -> dict[int, int]:
     """For the classes ``asked(rep, vec)`` the true number of links, by comparison with all vectors."""
     reps = np.array([r.rep for r in asked])
     sizes = np.array([len(r.vec) for r in asked])
-    by_size = {int(size): (np.flatnonzero(sizes == size), np.stack([np.frombuffer(r.vec) for r in asked if len(r.vec) == size])) for size in np.unique(sizes)}
+    by_size = {int(size): (np.flatnonzero(sizes == size), _unit([bytes(r.vec) for r in asked if len(r.vec) == size], dtype)) for size in np.unique(sizes)}
     sent = groups.sparkSession.sparkContext.broadcast((reps, by_size))  # at most DRAWN vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +359,7 @@ def exact(groups: DataFrame, asked: list, cosine: float) -> dict[int, int]:
                 rows = np.flatnonzero(lens == size)
                 for i in range(0, len(rows), 512):
                     part = rows[i : i + 512]
-                    near = q @ np.stack([np.frombuffer(raw[x]) for x in part]).T >= cosine
+                    near = q @ _unit([raw[x] for x in part], dtype).T >= cosine
                     total[at] += (near & (reps[at][:, None] != rep[part])) @ mult[part]
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total)], names=["rep", "n"])
 
@@ -329,9 +367,13 @@ def exact(groups: DataFrame, asked: list, cosine: float) -> dict[int, int]:
     return {r.rep: r.n for r in rows}
 
 
-def audited(groups: DataFrame, cosine: float) -> dict[int, int]:
-    """The true number of links of AUDIT classes that have links, or of all that have if there are fewer."""
-    ranked = groups.select("rep", "vec", F.xxhash64("rep", F.lit(1)).alias("rank"))
+def audited(groups: DataFrame, cosine: float, dtype: type) -> dict[int, int]:
+    """The true number of links of AUDIT classes that have links, or of all that have if there are fewer.
+
+    Ids divisible by 50 are drawn first.
+    """
+    rank = F.xxhash64("rep", F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1)) + F.when(F.col("rep") % 50 == 0, 0).otherwise(1 << 62)
+    ranked = groups.select("rep", "vec", rank.alias("rank"))
     true: dict[int, int] = {}
     last, n = None, AUDIT
     while len(true) < AUDIT:
@@ -339,7 +381,7 @@ def audited(groups: DataFrame, cosine: float) -> dict[int, int]:
         asked = rest.orderBy("rank", "rep").limit(n).collect()
         if not asked:
             break
-        links = exact(groups, asked, cosine)
+        links = exact(groups, asked, cosine, dtype)
         true |= {r.rep: links[r.rep] for r in asked if links[r.rep]}
         last, n = asked[-1], min(4 * n, DRAWN)
     return dict(list(true.items())[:AUDIT])
@@ -356,17 +398,19 @@ def recall(found: DataFrame, true: dict[int, int]) -> float:
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector."""
+    dtype = _dtype(df)
     rows, groups = classes(df)
     found = None
     if not groups.isEmpty():
-        middle, true = centres(groups), audited(groups, cosine)
-        found = cut(linked(groups, middle, overlap, cosine))
+        middle, true = centres(groups, dtype), audited(groups, cosine, dtype)
+        found = cut(linked(groups, middle, overlap, cosine, dtype))
         while recall(found, true) < RECALL:
+            drop_cut(found)
             if overlap >= LAST:  # one cluster a length, all its blocks
-                found = cut(linked(groups, {size: c[:1] for size, c in middle.items()}, 1, cosine, walk=False))
+                found = cut(linked(groups, {size: c[:1] for size, c in middle.items()}, 1, cosine, dtype, walk=False))
                 break
             overlap *= 2
-            found = cut(linked(groups, middle, overlap, cosine))
+            found = cut(linked(groups, middle, overlap, cosine, dtype))
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     n = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))

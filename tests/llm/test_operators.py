@@ -665,8 +665,8 @@ def test_vectors_that_the_shards_part(spark, monkeypatch):
     """Few classes have links, and no shard has both ends of one: the audit sees it, and the comparison is exact."""
     real = vectors.assigned
 
-    def parted(groups, middle, overlap):
-        out = real(groups, middle, overlap)
+    def parted(groups, middle, overlap, dtype):
+        out = real(groups, middle, overlap, dtype)
         return out if all(len(c) == 1 for c in middle.values()) else out.withColumn("clusters", F.expr("array(51200000 + rep % 4)"))
 
     monkeypatch.setattr(vectors, "assigned", parted)
@@ -688,7 +688,8 @@ def test_robust_pruned_graph_finds_neighbours():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     adj = vectors.build(v)
     pointers = np.concatenate([[0], np.cumsum([len(x) for x in adj])])
-    a, b = vectors.search(v, pointers, np.concatenate(adj), v, np.full(400, -1), 0.9)
+    none = np.zeros(0, np.int64)
+    a, b = vectors.search(v, pointers, np.concatenate(adj), v, (none, none), 0.9)
     true = {(i, j) for i, j in zip(*np.nonzero(v @ v.T >= 0.9), strict=True)}
     got = set(zip(a.tolist(), b.tolist(), strict=True))
     assert got <= true and len(got) >= 0.9 * len(true)
