@@ -10,11 +10,13 @@
    The maximum over predecessors is a prefix maximum in a Fenwick tree.
 4. Chains are aligned word by word: between anchors along the diagonal, or from both sides
    of an insertion, and beyond both ends until mismatches outweigh matches.  Passages with
-   ``MIN_WORDS`` words, of which ``IDENTITY`` agree, are reported.
+   ``MIN_WORDS`` words, of which ``IDENTITY`` agree, are reported.  Stretches of fewer than
+   ``VARIETY`` different words are stutters, which any two texts may share, and no passages.
 5. The first documents of a passage's seeds may hold parts of it only.  So where shared seeds
    lie close enough for a verbatim run of MIN_WORDS words, every MIN_WORDS words point to the
    first document that has all of them, and runs outside the passages of 4 are aligned too:
-   MIN_WORDS words that a document with a lesser doc_id also has always lie in passages.
+   MIN_WORDS words that a document with a lesser doc_id also has, VARIETY different ones among
+   them, always lie in passages.
    Passages with edits in every MIN_WORDS words are found by 2 alone.
 
 Defined results: null and short texts have no passage; rows that share a doc_id count as
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 from . import _bloom, _text
 from ._cluster import cut
 
+#: A run of WINDOW + K - 1 = 17 equal words has a common seed: a passage of MIN_WORDS with an edit in every third of it still has
+#: two or three.  Denser seeds find no more runs of MIN_WORDS words and cost shuffle in proportion to 2 / (WINDOW + 1).
 K = 6
 WINDOW = 12
 MIN_WORDS = 50
+VARIETY = 10
 IDENTITY = 0.8
 #: Of a chain: seeds at least, and the cost of a word of gap on either side.
 MIN_SEEDS = 2
@@ -342,8 +347,10 @@ def passages(df: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, src, a0, b0, at, bt, aw, bw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for x0, x1, y0, y1, equal in aligned(np.frombuffer(aw, np.uint32), np.frombuffer(bw, np.uint32), [x - a0 for x in at], [y - b0 for y in bt]):
-                    out.append({"doc_id": doc, "start": x0 + a0, "end": x1 + a0, "src_doc_id": src, "src_start": y0 + b0, "src_end": y1 + b0, "equal_words": equal})
+                own = np.frombuffer(aw, np.uint32)
+                for x0, x1, y0, y1, equal in aligned(own, np.frombuffer(bw, np.uint32), [x - a0 for x in at], [y - b0 for y in bt]):
+                    if len(np.unique(own[x0:x1])) >= VARIETY:
+                        out.append({"doc_id": doc, "start": x0 + a0, "end": x1 + a0, "src_doc_id": src, "src_start": y0 + b0, "src_end": y1 + b0, "equal_words": equal})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("src_doc_id", pa.int64()), ("src_start", pa.int32()), ("src_end", pa.int32()), ("equal_words", pa.int32())])

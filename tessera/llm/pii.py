@@ -9,7 +9,8 @@ made.
 Base kinds are the leftmost non-overlapping matches of fixed patterns, kind by kind:
 email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits).
 Added kinds need a cue: ``account`` (IBAN by mod 97, or a number after an account cue),
-``address`` (number and street word, or post box), ``login`` (URL with user and password).
+``address`` (number and street word, or post box), ``login`` (URL with user and password),
+``secret`` (a value assigned to a token, key or password; a private key block).
 
 Defined results: null or empty texts have no spans (the digest is that of the empty
 string); rows that repeat are scanned one by one.  Offsets are code points, ends exclusive.
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "address", "login")
+ADDED = ("account", "address", "login", "secret")
 
 #: Words that introduce account numbers, and street words, in the languages of the corpora.
 ACCOUNT_CUES = ("iban", "account", "acct", "kontonummer", "konto-nr", "compte", "cuenta")
 STREET_CUES = ("street", "avenue", "boulevard", "road", "lane", "straße", "strasse", "rue", "calle", "avenida", "p.o. box", "postfach")
+#: Names to which secrets are assigned, and how private keys begin.
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key", "secret_key", "auth_key")
+KEY_BLOCK = "-----BEGIN "
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -44,6 +48,8 @@ _BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?\x20(?:[A-ZÀ-Þ][\w
 _AFTER = re.compile(r"\x20(?:[A-ZÀ-Þ][\w'-]{0,30}\x20){1,3}[0-9]{1,5}(?![0-9A-Za-z])")
 _JOINED = re.compile(r"\x20[0-9]{1,5}(?![0-9A-Za-z])")
 _LOGIN = re.compile(r"[^\s/:@<>\"']{1,64}:[^\s/@<>\"']{1,64}@[A-Za-z0-9.-]{1,253}")
+_ASSIGNED = re.compile(r"[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}(?:bearer\s{1,4})?([\"']?)([A-Za-z0-9+/_=.~$!@#%^&*-]{8,512})\1", re.I)
+_BLOCK = re.compile(r"[A-Z ]{0,32}PRIVATE KEY-----[^-]{0,20000}(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEMES = ("http", "https", "ftp", "ssh", "postgres", "mysql", "mongodb")
 
@@ -68,7 +74,8 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("at", 1))
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
-    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES)):
+    a.add_word(KEY_BLOCK, ("block", len(KEY_BLOCK)))
+    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in {cue, cue.capitalize(), cue.title(), cue.upper()}:
                 a.add_word(form, (kind, len(form)))
@@ -147,6 +154,13 @@ def find(text: str, a: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]
                 start -= 1
             if text[start:i].lower() in _SCHEMES and (m := _LOGIN.match(text, last + 1)):
                 out["login"].append((start, m.end()))
+        elif kind == "block":
+            if m := _BLOCK.match(text, last + 1):
+                out["secret"].append((i, m.end()))
+        elif kind == "secret":
+            # the value is what counts: it looks random, a word doesn't
+            if (m := _ASSIGNED.match(text, last + 1)) and (m[1] or any("0" <= x <= "9" for x in m[2])) and len(set(m[2])) > 4:
+                out["secret"].append(m.span(2))
         else:
             joined = i and text[i - 1].isalnum()
             cue = text[i : last + 1].lower()
@@ -190,12 +204,13 @@ def digest(df: DataFrame) -> DataFrame:
     rows = spans(df.select(F.col("doc_id").cast("long"), "text"), ["doc_id"])
     line = "concat(x.kind, ':', x.start, ':', x.end)"
     base = "'" + "','".join(BASE) + "'"
-    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
+    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE + ADDED]
     return rows.select(
         "doc_id",
         *counts,
         F.sha2(F.expr(f"cast(array_join(transform(filter(found, x -> x.kind in ({base})), x -> {line}), ',') as binary)"), 256).alias("base_sha256"),
         F.expr(f"array_join(transform(found, x -> {line}), ',')").alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )
 
 

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tessera.llm import decontam, mixing, queries, simhash
 
-from .test_operators import feistel, jaccard, shingles
+from .test_operators import empty, feistel, jaccard, odd, shingles  # noqa: F401
 
 
 def test_pipeline_stage_by_stage(spark, sf):
@@ -43,3 +43,23 @@ def test_pipeline_stage_by_stage(spark, sf):
 def test_run_is_the_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert "shard" in got.columns and got.count() > 0
+
+
+def test_stages_on_odd_rows(spark, sf, odd, empty):
+    """Nulls, repeats, long texts and other columns through all the stages, one after the other; and no rows at all."""
+    from tessera.llm._cluster import cut
+
+    docs, counts = odd, [odd.count()]
+    for _, f in corpus_pipeline.STAGES:
+        docs = cut(f(spark, docs, sf))
+        counts.append(docs.count())
+        assert docs.columns[: len(odd.columns)] == [c for c in odd.columns if c != "shard"] + ["shard"] * ("slot" in docs.columns) or docs.columns == odd.columns
+    assert counts[1] >= counts[2] >= counts[3] and counts[4] == counts[5]
+    single = corpus_pipeline.drop_near_copies(spark, odd, sf)
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 4, 5, 7, 8]
+    clean = corpus_pipeline.drop_contaminated(spark, single, sf)
+    assert clean.columns == odd.columns and clean.count() == 6
+    docs = empty
+    for _, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, sf)
+    assert docs.count() == 0
