@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     flat = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return flat.unionByName(roots)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the links between nodes 0 .. n - 1, for all but the least."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label < np.arange(n))
+    return node, label[node]

@@ -16,8 +16,9 @@ sub-segments of all 64 bits (by pigeonhole, so no pair is lost) where the distan
 ``groups`` (links: distance 4 of 64 bits over shingles of four words, radii such that every
 such pair must agree on a segment) loses no link.  ``near_copies`` finds texts whose sets of
 five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more: 128 bits in eight
-segments of radius 1 propose pairs, the sets themselves decide.  Of pairs at 0.80 some 7 %
-aren't proposed, at 0.85 some 3 %, at 0.9 under 1 %.
+segments of radius 1 put texts into coarse groups, and within a group the sets themselves
+are compared, block by block; a pair of blocks returns a spanning forest, never its pairs.
+Of pairs at 0.80 some 8 % aren't in one group, at 0.85 some 3 %, at 0.9 under 1 %.
 
 Empty or null texts have the fingerprint zero and link like any other; equal
 fingerprints (equal sets) are collapsed before the search, so copies are never expanded
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bloom, _text
-from ._cluster import components, cut
+from ._cluster import components, cut, forest
 
 SHINGLE = 4
 SEED = 42
@@ -44,11 +45,13 @@ DISTANCE = 4
 SEGMENTS = (("w0", 0, 22, 1), ("w0", 22, 21, 1), ("w0", 43, 21, 0))
 #: Fingerprints of one table bucket above which it is split by sub-segments.
 BUCKET = 256
-#: Of near copies: words of a shingle, least Jaccard similarity, segments, and the distances of the first word and of both that
-#: a pair at SIMILARITY hardly ever exceeds (mean 9.7 and deviation 2.9, mean 19.4 and deviation 4.1).
+#: Of near copies: words of a shingle, least Jaccard similarity, segments, and the distance of 128 bits up to which texts are
+#: compared (pairs at SIMILARITY differ in 19.4 bits on average, with a deviation of 4.1).
 SET_SHINGLE, SIMILARITY = 5, 0.8
 SET_SEGMENTS = tuple((w, lo, 16, 1) for w in ("w0", "w1") for lo in (0, 16, 32, 48))
-SET_DISTANCE, SET_BITS = 17, 32
+SET_BITS = 28
+#: Sets of a block that are compared with those of another.
+SET_BLOCK = 512
 
 #: For each byte, its bits spread over the eight bytes of a word, most significant first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -138,56 +141,44 @@ def _balls(fps: DataFrame, segments) -> DataFrame:
     return fps.select("*", F.explode(F.expr(f"concat({','.join(found)})")).alias("s")).select("*", "s.key", "s.far").drop("s")
 
 
-def _near(distance: int) -> str:
-    return f"bit_count(q.w0 ^ t.w0) <= {distance}"
+def leaders(fps: DataFrame, near: str, segments) -> DataFrame:
+    """Pairs ``u, v`` of each entry of ``fps(id, ...)`` with the least one under one of its keys."""
+    stand = _entries(fps, segments)
+    first = cut(stand.groupBy("key").agg(F.min(F.struct(*fps.columns)).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f.*"))
+    return stand.alias("q").join(first.alias("t"), F.expr(f"q.key = t.key and q.id <> t.id and {near}")).selectExpr("q.id as u", "t.id as v").distinct()
 
 
-_PAIR = ("q.id as u", "t.id as v")
+def crossing(fps: DataFrame, near: str, segments, slices: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """Pairs ``u, v`` of the groups ``comp`` of ``fps(comp, ...)`` that have entries near each other.
 
-
-def leaders(fps: DataFrame, distance: int, segments) -> DataFrame:
-    """Pairs ``u, v`` of each entry of ``fps(id, w0, ...)`` with the least one under one of its keys."""
-    stand = _entries(fps, segments).select("id", "w0", "key")
-    first = cut(stand.groupBy("key").agg(F.min(F.struct("id", "w0")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f.*"))
-    return stand.alias("q").join(first.alias("t"), F.expr(f"q.key = t.key and q.id <> t.id and {_near(distance)}")).selectExpr(*_PAIR).distinct()
-
-
-def crossing(fps: DataFrame, distance: int, segments, bucket: int | None = BUCKET) -> DataFrame:
-    """Pairs ``u, v`` of entries of ``fps(id, w0, ..., comp)`` that aren't together yet.  No ``bucket``: keys aren't split."""
+    ``slices``: keys with more than ``bucket`` entries are split by so many exact slices of w0, one of which near entries must
+    share; 0: keys aren't split.
+    """
     stand, seek = _entries(fps, segments), _balls(fps, segments)
-    near = f"q.comp <> t.comp and (q.far or q.id < t.id) and {_near(distance)}"
-    keep = ["id", "w0", "comp", "key"]
-    hot = None
-    if bucket is not None:
-        hot = cut(stand.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
+    near = f"q.comp <> t.comp and (q.far or q.comp < t.comp) and {near}"
+    pair = ("q.comp as u", "t.comp as v")
+    hot = cut(stand.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key")) if slices else None
     if hot is None or hot.isEmpty():
-        return seek.select(*keep, "far").alias("q").join(stand.select(*keep).alias("t"), F.expr(f"q.key = t.key and {near}")).selectExpr(*_PAIR).distinct()
-    # a hot key is split by distance + 1 exact slices of all 64 bits: one of them must agree
-    cuts = np.linspace(0, 64, distance + 2).astype(int).tolist()
+        return seek.alias("q").join(stand.alias("t"), F.expr(f"q.key = t.key and {near}")).selectExpr(*pair).distinct()
+    cuts = np.linspace(0, 64, slices + 1).astype(int).tolist()
     parts = [f"struct({k} as k, {_bits('w0', a, b - a)} as part)" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
-    def split(rows: DataFrame, own: list[str]) -> DataFrame:
-        rows = rows.select(*own).join(hot.withColumn("is_hot", F.lit(True)), "key", "left")
+    def split(rows: DataFrame) -> DataFrame:
+        own = rows.columns
+        rows = rows.join(hot.withColumn("is_hot", F.lit(True)), "key", "left")
         whole = "array(struct(-1 as k, 0L as part))"
         return rows.select(*own, F.explode(F.expr(f"if(is_hot, array({','.join(parts)}), {whole})")).alias("s")).select(*own, "s.*")
 
     same = "q.key = t.key and q.k = t.k and q.part = t.part and "
-    return split(seek, [*keep, "far"]).alias("q").join(split(stand, keep).alias("t"), F.expr(same + near)).selectExpr(*_PAIR).distinct()
+    return split(seek).alias("q").join(split(stand).alias("t"), F.expr(same + near)).selectExpr(*pair).distinct()
 
 
-def together(fps: DataFrame, distance: int, segments, bucket: int | None = BUCKET, sure=lambda pairs: pairs) -> DataFrame:
-    """``id, comp`` of ``fps(id, w0, ...)`` (distinct ids): the least id that links reach.  ``sure`` keeps the pairs that are links."""
-    first = cut(sure(leaders(fps, distance, segments)))
-    comp = components(first).withColumnRenamed("node", "id")
+def together(fps: DataFrame, near: str, segments, slices: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """``id, comp`` of ``fps(id, w0, ...)`` (distinct ids): the least id that links reach; ``near`` is SQL over entries q and t."""
+    comp = components(leaders(fps, near, segments)).withColumnRenamed("node", "id")
     now = cut(fps.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
-    more = cut(sure(crossing(now, distance, segments, bucket)))
-    if more.isEmpty():
-        return now.select("id", "comp")
-    # what is together is one node from here on
-    named = now.select("id", "comp")
-    ends = more.join(named.withColumnRenamed("comp", "a"), F.col("u") == F.col("id")).drop("id").join(named.withColumnRenamed("comp", "b"), F.col("v") == F.col("id"))
-    last = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "comp")
-    return named.join(last, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
+    last = components(crossing(now.drop("id"), near, segments, slices, bucket)).withColumnRenamed("node", "comp")
+    return now.select("id", "comp").join(cut(last), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
 
 
 def groups(df: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
@@ -200,7 +191,8 @@ def groups(df: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFr
         raise ValueError("these radii would lose pairs")
     rows = cut(fingerprints(df))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = together(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), distance, segments).select(F.col("id").alias("fp"), F.col("comp").alias("component"))
+    # distance + 1 slices of all 64 bits: one of them must agree
+    comp = together(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), f"bit_count(q.w0 ^ t.w0) <= {distance}", segments, distance + 1).select(F.col("id").alias("fp"), F.col("comp").alias("component"))
     named = cut(distinct.join(comp, "fp"))
     # the minima are combined before the shuffle and written before the join: a component or fingerprint of very many rows can be split
     least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
@@ -249,27 +241,22 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, shingle: int = SE
                 counts, h = shingle_sets(c, shingle)
                 w = [pa.array(_majority(x, counts).view(np.int64)) for x in (h, _text.mix64(h))]
                 own = [x[c.first : c.first + len(c)] for x in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(_set_ids(counts, h)), *w, pa.array(counts)], names=["doc_id", "text_hash", "id", "w0", "w1", "n"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_set_ids(counts, h)), *w, pa.array(counts.astype(np.int32))], names=["doc_id", "text_hash", "id", "w0", "w1", "n"])
 
     hashed = _own(df).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = cut(hashed.mapInArrow(run, "doc_id long, text_hash long, id long, w0 long, w1 long, n long"))
+    rows = cut(hashed.mapInArrow(run, "doc_id long, text_hash long, id long, w0 long, w1 long, n int"))
     fps = cut(rows.groupBy("id").agg(F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("n").alias("n")))
-    u, v = (fps.select(F.col("id").alias(x), F.struct("w0", "w1", "n").alias(f"_{x}")) for x in ("u", "v"))
+    near = f"bit_count(q.w0 ^ t.w0) + bit_count(q.w1 ^ t.w1) <= {SET_BITS} and least(q.n, t.n) >= {similarity}D * greatest(q.n, t.n)"
+    coarse = cut(together(fps, near, SET_SEGMENTS))
+    comp = components(similar(df, coarse, similarity, shingle)).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    return rows.join(cut(comp), "id", "left").select("doc_id", "text_hash", F.coalesce("comp", "id").alias("comp"))
 
-    def sure(pairs: DataFrame) -> DataFrame:
-        """The complete distance, and sizes that allow the similarity; then the sets themselves."""
-        close = pairs.join(u, "u").join(v, "v").where(f"bit_count(_u.w0 ^ _v.w0) + bit_count(_u.w1 ^ _v.w1) <= {SET_BITS}")
-        close = close.where(f"least(_u.n, _v.n) >= {similarity}D * greatest(_u.n, _v.n)")
-        return similar(df, cut(close.select("u", "v")), similarity, shingle)
 
-    comp = together(fps, SET_DISTANCE, SET_SEGMENTS, None, sure)
-    return rows.join(cut(comp), "id").select("doc_id", "text_hash", "comp")
-
-
-def similar(df: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The ``pairs(u, v)`` of set ids whose sets, taken from the texts again, are so similar."""
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sent = df.sparkSession.sparkContext.broadcast(_bloom.fill(ends, "id"))
+def similar(df: DataFrame, coarse: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``u, v``: links that join what is so similar within the groups ``coarse(id, comp)`` of set ids; the sets are read from the texts again."""
+    sizes = cut(coarse.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.expr(f"cast(ceil(m / {SET_BLOCK}) as int)")))
+    members = cut(coarse.join(sizes, "comp").withColumn("block", F.expr("pmod(xxhash64(id, 77), blocks)").cast("int")).select("id", "comp", "block", "blocks"))
+    sent = df.sparkSession.sparkContext.broadcast(_bloom.fill(members, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,20 +267,45 @@ def similar(df: DataFrame, pairs: DataFrame, similarity: float, shingle: int) ->
                 raw = [h[at[i] - counts[i] : at[i]].tobytes() for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(raw, pa.binary())], names=["id", "set"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
     # of copies one row is enough: the filter may let others through, the join doesn't
-    found = _own(df).select("text").mapInArrow(sets, "id long, set binary")
-    found = cut(found.join(ends, "id", "left_semi").dropDuplicates(["id"]))
-    u, v = found.select(F.col("id").alias("u"), F.col("set").alias("a")), found.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+    found = _own(df).select("text").mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
+    found = cut(found.join(members, "id").select("comp", "block", "blocks", "id", "set"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("k")
+    tasks = found.select("comp", "block", other, "id", "set").withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")}).drop("k")
+    return tasks.groupBy("comp", "i", "j").applyInArrow(_compared(similarity), "u long, v long")
+
+
+def _compared(similarity: float):
+    """Two blocks of a group, or one with itself: a spanning forest of the pairs that are similar enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block = table["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        ids, block = table["id"].to_numpy()[order], block[order]
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].take(pa.array(order)).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        # common shingles by the lists of the rows that hold each shingle
+        row = np.repeat(np.arange(len(sets)), size)
+        h = np.concatenate(sets)
+        by = np.argsort(h, kind="stable")
+        h, row = h[by], row[by]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(h)))
+        a, c = (len(sets), 0) if i == j else (int((block == i).sum()),) * 2
+        both = np.zeros((a, len(sets) - c), np.float32)
+        shared = np.flatnonzero(times > 1)
+        for k in range(0, len(shared), 2048):
+            part = shared[k : k + 2048]
+            at = np.repeat(first[part], times[part]) + np.arange(times[part].sum()) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+            has = np.zeros((len(sets), len(part)), np.float32)
+            has[row[at], np.repeat(np.arange(len(part)), times[part])] = 1
+            both += has[:a] @ has[c:].T
+        x, y = np.nonzero(both >= similarity * (size[:a, None] + size[None, c:] - both))
+        node, root = forest(len(sets), x, y + c)
+        return pa.table({"u": pa.array(ids[node], pa.int64()), "v": pa.array(ids[root], pa.int64())})
+
+    return run
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY, shingle: int = SET_SHINGLE) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import components, cut, drop_cut
+from ._cluster import components, cut, drop_cut, forest
 
 COSINE = 0.9
 #: Vectors that give the centres, at most; clusters, at most; aimed size of a cluster; size of a block.
@@ -228,24 +228,6 @@ def search(v: np.ndarray, pointers: np.ndarray, flat: np.ndarray, q: np.ndarray,
     return np.nonzero(sims >= cosine)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) of the links between nodes 0 .. n - 1, for all but the least."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    node = np.flatnonzero(label < np.arange(n))
-    return node, label[node]
-
-
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, values) of a list column."""
     column = column.combine_chunks()
@@ -312,7 +294,7 @@ def _searched(cosine: float, dtype: type, walk: bool):
         counts = np.zeros(len(rep), np.int64)
         np.add.at(counts, a, mult[b])
         np.add.at(counts, b, mult[a])
-        some, (u, v) = np.flatnonzero(counts), _forest(len(rep), a, b)
+        some, (u, v) = np.flatnonzero(counts), forest(len(rep), a, b)
         none_n, none_u = pa.nulls(len(some), pa.int64()), pa.nulls(len(u), pa.int64())
         return pa.table({
             "rep": pa.chunked_array([pa.array(rep[some]), none_u]), "n": pa.chunked_array([pa.array(counts[some]), none_u]),

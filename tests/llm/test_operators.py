@@ -177,10 +177,10 @@ def test_simhash_loses_no_link(spark):
     order = sorted(range(len(fps)), key=lambda i: signed[i])
     want = brute_components([fps[i] for i in order], 4)
     for bucket in (8, 10_000):
-        got = {r.id: r.comp for r in simhash.together(df, 4, simhash.SEGMENTS, bucket).collect()}
+        got = {r.id: r.comp for r in simhash.together(df, "bit_count(q.w0 ^ t.w0) <= 4", simhash.SEGMENTS, 5, bucket).collect()}
         assert [got[signed[i]] for i in order] == [signed[order[k]] for k in want]
         # without anything put together before, every pair leaves the join
-        pairs = simhash.crossing(df.withColumn("comp", F.col("id")), 4, simhash.SEGMENTS, bucket).collect()
+        pairs = simhash.crossing(df.withColumnRenamed("id", "comp"), "bit_count(q.w0 ^ t.w0) <= 4", simhash.SEGMENTS, 5, bucket).collect()
         true = {(max(a, b), min(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
         assert {(max(r), min(r)) for r in pairs} == true
 
@@ -194,8 +194,10 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_near_copies_are_similar_sets(spark):
+@pytest.mark.parametrize("block", [7, 512])
+def test_near_copies_are_similar_sets(spark, monkeypatch, block):
     """Groups of near copies against all pairs of sets; what isn't 0.8 similar by links stays apart."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
     rng = random.Random(21)
     docs = []
     for g in range(40):
