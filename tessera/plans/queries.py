@@ -256,14 +256,16 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cands_sql(rs: tuple[config.Rule, ...], cte: str, detector: str | None = None) -> str:
     """CTE of the candidates of several rules, in order, as one list a document."""
-    one = lambda k, r: f"""select doc_id, {k} as rule_no, i, (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::int as s, length(m[i + 1])::int as n,
+    one = lambda k, r: f"""select doc_id, {k} as rule_no, i, (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::int as s, length(m[i + 1])::int as n, length(rtrim(m[i + 1], ' '))::int as seen,
       '{r.pii_type}' as t, {r.base_confidence}::double as c, '{detector or f"regex.{r.rule_id}"}' as d
       from (select doc_id, unnest(range(len(m))) as i, m, g from (select doc_id, regexp_extract_all(text, '{EMAIL_SQL if r.rule_id == "email" else r.pattern}') as m, regexp_split_to_array(text, '{EMAIL_SQL if r.rule_id == "email" else r.pattern}') as g from documents))"""
-    return f"""{cte} as (select doc_id, list({{'s': s, 'e': s + n, 't': t, 'c': c, 'd': d}} order by rule_no, i) as l from ({' union all '.join(one(k, r) for k, r in enumerate(rs))}) group by doc_id)"""
+    return f"""{cte} as (select doc_id, list({{'s': s, 'e': s + n, 't': t, 'c': c, 'd': d, 'v': s + seen}} order by rule_no, i) as l from ({' union all '.join(one(k, r) for k, r in enumerate(rs))}) group by doc_id)"""
 
 
+#: A card may end in a blank before a letter beyond ASCII, where other dialects see no word boundary: ends are told without it.
+_VISIBLE_END = "m.start + length(rtrim(m.text)) as end"
 _ANY_NUMBER = config.Rule("any_number", "phone", r"\d{3,}[\d .-]*\d", 0.6)
-_NO_CANDIDATE = "[]::struct(s int, e int, t varchar, c double, d varchar)[]"
+_NO_CANDIDATE = "[]::struct(s int, e int, t varchar, c double, d varchar, v int)[]"
 
 
 def _best_sql(x: str, among: str, free: str = "true") -> str:
@@ -284,26 +286,26 @@ one as (
   union all select doc_id, 0, i, 0, x, x.c, case when y is null then 'single_source' else 'conflicting' end, [x.d] from parts where y is null or x.t <> y.t
   union all select doc_id, 0, i, 1, y, y.c, 'conflicting', [y.d] from parts where x.t <> y.t
   union all select doc_id, 1, i, 0, n[i + 1], n[i + 1].c, 'single_source', [n[i + 1].d] from (select doc_id, n, used, unnest(range(len(n))) as i from st where i = len(r)) where not list_contains(used, i)),
-fused as (select doc_id, (row_number() over (partition by doc_id order by part, i, sub) - 1)::int as ord, z.s as s, z.e as e, z.t as t, conf, level, src from one)"""
-_MATCH_COLUMNS = 'doc_id, ord, s as "start", e as "end", t as pii_type, round(conf, 6) as confidence, level, array_to_string(src, \'+\') as sources'
+fused as (select doc_id, (row_number() over (partition by doc_id order by part, i, sub) - 1)::int as ord, z.s as s, z.e as e, z.v as v, z.t as t, conf, level, src from one)"""
+_MATCH_COLUMNS = 'doc_id, ord, s as "start", v as "end", t as pii_type, round(conf, 6) as confidence, level, array_to_string(src, \'+\') as sources'
 
 #: One step a language-model candidate, over the list of what was there before and what came to it.
 _ABSORBED = f"""{_FUSED},
-fl as (select doc_id, list({{'s': s, 'e': e, 't': t, 'c': conf, 'l': level, 'src': src}} order by ord) as m from fused group by doc_id),
+fl as (select doc_id, list({{'s': s, 'e': e, 'v': v, 't': t, 'c': conf, 'l': level, 'src': src}} order by ord) as m from fused group by doc_id),
 sa as (select j.doc_id, j.a, coalesce(fl.m, []) as m, len(coalesce(fl.m, [])) as old, 0 as i from j left join fl using (doc_id)
   union all select doc_id, a, case
-      when b is null then list_append(m, {{'s': x.s, 'e': x.e, 't': x.t, 'c': x.c, 'l': 'ai_discovered', 'src': [x.d]}})
-      when m[b + 1].t <> x.t then list_append(list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 't': m[k + 1].t, 'c': m[k + 1].c, 'l': case when m[k + 1].l = 'single_source' then 'conflicting' else m[k + 1].l end, 'src': m[k + 1].src}} else m[k + 1] end), {{'s': x.s, 'e': x.e, 't': x.t, 'c': x.c, 'l': 'conflicting', 'src': [x.d]}})
+      when b is null then list_append(m, {{'s': x.s, 'e': x.e, 'v': x.v, 't': x.t, 'c': x.c, 'l': 'ai_discovered', 'src': [x.d]}})
+      when m[b + 1].t <> x.t then list_append(list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 'v': m[k + 1].v, 't': m[k + 1].t, 'c': m[k + 1].c, 'l': case when m[k + 1].l = 'single_source' then 'conflicting' else m[k + 1].l end, 'src': m[k + 1].src}} else m[k + 1] end), {{'s': x.s, 'e': x.e, 'v': x.v, 't': x.t, 'c': x.c, 'l': 'conflicting', 'src': [x.d]}})
       when list_contains(m[b + 1].src, x.d) then m
-      else list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 't': m[k + 1].t, 'c': least(1.0, m[k + 1].c + 0.15), 'l': case when m[k + 1].l = 'single_source' then 'double_confirmed' else m[k + 1].l end, 'src': list_append(m[k + 1].src, x.d)}} else m[k + 1] end) end, old, i + 1
+      else list_transform(range(len(m)), lambda k: case when k = b then {{'s': m[k + 1].s, 'e': m[k + 1].e, 'v': m[k + 1].v, 't': m[k + 1].t, 'c': least(1.0, m[k + 1].c + 0.15), 'l': case when m[k + 1].l = 'single_source' then 'double_confirmed' else m[k + 1].l end, 'src': list_append(m[k + 1].src, x.d)}} else m[k + 1] end) end, old, i + 1
     from (select *, a[i + 1] as x, {_best_sql('a[i + 1]', 'm[1:old]')} as b from sa where i < len(a))),
-absorbed as (select doc_id, k::int as ord, m[k + 1].s as s, m[k + 1].e as e, m[k + 1].t as t, m[k + 1].c as conf, m[k + 1].l as level, m[k + 1].src as src from (select doc_id, m, unnest(range(len(m))) as k from sa where i = len(a)))"""
+absorbed as (select doc_id, k::int as ord, m[k + 1].s as s, m[k + 1].e as e, m[k + 1].v as v, m[k + 1].t as t, m[k + 1].c as conf, m[k + 1].l as level, m[k + 1].src as src from (select doc_id, m, unnest(range(len(m))) as k from sa where i = len(a)))"""
 
 
 @query("fusion_matches", f"{_FUSED} select {_MATCH_COLUMNS} from fused")
 def fusion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _sides(spark, sf_dir).select("doc_id", F.posexplode(fuse.fuse(F.col("r"), F.col("n"))).alias("ord", "m"))
-    return m.select("doc_id", "ord", "m.start", "m.end", "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
+    return m.select("doc_id", "ord", "m.start", F.expr(_VISIBLE_END), "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
 
 
 @query("fusion_levels", f"{_FUSED} select level, t as pii_type, count(*) as n from fused group by all")
@@ -315,7 +317,7 @@ def fusion_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ai_absorb", f"{_ABSORBED} select {_MATCH_COLUMNS} from absorbed")
 def ai_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _sides(spark, sf_dir).select("doc_id", F.posexplode(fuse.fuse(F.col("r"), F.col("n"), F.col("a"))).alias("ord", "m"))
-    return m.select("doc_id", "ord", "m.start", "m.end", "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
+    return m.select("doc_id", "ord", "m.start", F.expr(_VISIBLE_END), "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
 
 
 @query("span_score")
