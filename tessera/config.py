@@ -67,19 +67,74 @@ NER_RECOGNIZERS = ("SpacyRecognizer", "StanzaRecognizer", "TransformersRecognize
 
 #: phrases of a register and the types they stand for, in order
 PHRASES = {
-    "person_name": ("nome", "cognome", "nominativo", "generalità", "name", "names", "last name", "last names", "first name", "surname", "full name"),
-    "address": ("indirizzo", "residenza", "domicilio", "indirizzo di residenza", "indirizzo postale", "addresses", "address", "postal address", "residential address"),
-    "email": ("email", "e-mail", "pec", "posta elettronica", "indirizzo email", "indirizzo di posta elettronica", "email address"),
-    "phone": ("telefono", "cellulare", "numero di telefono", "recapito telefonico", "phone number", "mobile"),
-    "iban": ("iban", "coordinate bancarie", "conto corrente", "conto bancario", "estremi bancari", "dati bancari", "bank account", "bank account details"),
-    "credit_card": ("carta di credito", "numero di carta di credito", "credit card", "credit card number"),
-    "date_of_birth": ("data di nascita", "nascita", "date of birth"),
-    "italian_id": ("codice fiscale", "tax code", "fiscal code"),
-    "swiss_avs": ("avs", "numero avs", "numero di previdenza sociale", "social security number", "social security numbers"),
-    "ip_address": ("ip", "indirizzo ip", "ip address"),
-    "health_data": ("dati sanitari", "dati relativi alla salute", "informazioni mediche", "cartella clinica", "diagnosi", "health data"),
-    "email+phone": ("contatti", "recapiti"),
-    "person_name+date_of_birth": ("dati anagrafici",),
+    "nome": ("person_name",),
+    "cognome": ("person_name",),
+    "nominativo": ("person_name",),
+    "generalità": ("person_name",),
+    "name": ("person_name",),
+    "names": ("person_name",),
+    "last name": ("person_name",),
+    "last names": ("person_name",),
+    "first name": ("person_name",),
+    "surname": ("person_name",),
+    "full name": ("person_name",),
+    "indirizzo": ("address",),
+    "residenza": ("address",),
+    "domicilio": ("address",),
+    "indirizzo di residenza": ("address",),
+    "indirizzo postale": ("address",),
+    "addresses": ("address",),
+    "address": ("address",),
+    "postal address": ("address",),
+    "residential address": ("address",),
+    "email": ("email",),
+    "e-mail": ("email",),
+    "pec": ("email",),
+    "posta elettronica": ("email",),
+    "indirizzo email": ("email",),
+    "indirizzo di posta elettronica": ("email",),
+    "email address": ("email",),
+    "telefono": ("phone",),
+    "cellulare": ("phone",),
+    "numero di telefono": ("phone",),
+    "recapito telefonico": ("phone",),
+    "phone number": ("phone",),
+    "mobile": ("phone",),
+    "iban": ("iban",),
+    "coordinate bancarie": ("iban",),
+    "conto corrente": ("iban",),
+    "conto bancario": ("iban",),
+    "estremi bancari": ("iban",),
+    "dati bancari": ("iban",),
+    "bank account": ("iban",),
+    "bank account details": ("iban",),
+    "carta di credito": ("credit_card",),
+    "numero di carta di credito": ("credit_card",),
+    "credit card": ("credit_card",),
+    "credit card number": ("credit_card",),
+    "data di nascita": ("date_of_birth",),
+    "nascita": ("date_of_birth",),
+    "date of birth": ("date_of_birth",),
+    "codice fiscale": ("italian_id",),
+    "tax code": ("italian_id",),
+    "fiscal code": ("italian_id",),
+    "avs": ("swiss_avs",),
+    "numero avs": ("swiss_avs",),
+    "numero di previdenza sociale": ("swiss_avs",),
+    "social security number": ("swiss_avs",),
+    "social security numbers": ("swiss_avs",),
+    "ip": ("ip_address",),
+    "indirizzo ip": ("ip_address",),
+    "ip address": ("ip_address",),
+    "dati sanitari": ("health_data",),
+    "dati relativi alla salute": ("health_data",),
+    "informazioni mediche": ("health_data",),
+    "cartella clinica": ("health_data",),
+    "diagnosi": ("health_data",),
+    "health data": ("health_data",),
+    "contatti": ("email", "phone"),
+    "recapiti": ("email", "phone"),
+    "dati anagrafici": ("person_name", "date_of_birth"),
 }
 
 #: months of a unit of retention, in English, Italian and French
@@ -128,7 +183,7 @@ DEFAULT_RULES = rules(GENERIC_RULES + CUSTOM_RULES)
 
 def phrase_table() -> list[tuple[str, list[str], int]]:
     """(phrase, types, order) of the phrase map."""
-    return [(p, types.split("+"), i) for i, (types, p) in enumerate((t, p) for t, ps in PHRASES.items() for p in ps)]
+    return [(p, list(types), i) for i, (p, types) in enumerate(PHRASES.items())]
 
 
 def catalog_ids() -> tuple[str, ...]:

@@ -320,7 +320,22 @@ def ai_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "ord", "m.start", F.expr(_VISIBLE_END), "m.pii_type", F.round("m.confidence", 6).alias("confidence"), "m.level", F.array_join("m.sources.detector_id", "+").alias("sources"))
 
 
-@query("span_score")
+#: One step a pair, best overlap first, ties to the highest places: it counts if both its spans are free.
+_SPAN_COUNTS = f"""with recursive {_cands_sql(config.DEFAULT_RULES, 'rc')}, {_cands_sql(_LOOSE, 'nc', 'presidio.ner')},
+ds as (select doc_id, unnest(range(len(l))) as i, unnest(l) as x from nc), gs as (select doc_id, unnest(range(len(l))) as j, unnest(l) as y from rc),
+near as (select doc_id, i, j, (least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double as v from ds join gs using (doc_id) where x.t = y.t and x.s < y.e and y.s < x.e),
+ranked as (select doc_id, i, j, row_number() over (partition by doc_id order by v desc, i desc, j desc) as no from near where v >= 0.5),
+taken as (select distinct doc_id, 1::bigint as no, []::bigint[] as ui, []::bigint[] as uj from ranked
+  union all select t.doc_id, t.no + 1, case when list_contains(ui, i) or list_contains(uj, j) then ui else list_append(ui, i) end, case when list_contains(ui, i) or list_contains(uj, j) then uj else list_append(uj, j) end from taken t join ranked r on r.doc_id = t.doc_id and r.no = t.no),
+used as (select doc_id, arg_max(ui, no) as ui, arg_max(uj, no) as uj from taken group by doc_id),
+c as (select x.t as pii_type, coalesce(list_contains(ui, i), false)::int as tp, (not coalesce(list_contains(ui, i), false))::int as fp, 0 as fn from ds left join used using (doc_id)
+  union all select y.t, 0, 0, (not coalesce(list_contains(uj, j), false))::int from gs left join used using (doc_id))"""
+_PRF = """select pii_type, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0::double end, 6) as f1 from (
+  select coalesce(pii_type, 'OVERALL') as pii_type, tp, fp, fn, case when tp + fp > 0 then tp / (tp + fp)::double else 0.0::double end as p, case when tp + fn > 0 then tp / (tp + fn)::double else 0.0::double end as r
+  from (select pii_type, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn from c group by rollup (pii_type)))"""
+
+
+@query("span_score", f"{_SPAN_COUNTS} {_PRF}")
 def span_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = score.span_counts(_side(spark, sf_dir, "n"), _side(spark, sf_dir, "r"))
     return score.report(c).select("pii_type", "tp", "fp", "fn", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
@@ -328,9 +343,6 @@ def span_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VALUES = "d as (select doc_id, 'ip_address' as pii_type, lower(unnest(regexp_extract_all(text, '\\d+(?:\\.\\d+){2,}'))) as v from documents), g as (select doc_id, 'ip_address' as pii_type, lower(unnest(" + _found("ip_address") + ")) as v from documents)"
 _VALUE_COUNTS = f"with {_VALUES}, x as (select doc_id, pii_type, v, count(*) as n from d group by all), y as (select doc_id, pii_type, v, count(*) as n from g group by all), c as (select coalesce(x.pii_type, y.pii_type) as pii_type, least(coalesce(x.n, 0), coalesce(y.n, 0)) as tp, coalesce(x.n, 0) - least(coalesce(x.n, 0), coalesce(y.n, 0)) as fp, coalesce(y.n, 0) - least(coalesce(x.n, 0), coalesce(y.n, 0)) as fn from x full join y on x.doc_id = y.doc_id and x.v = y.v)"
-_PRF = """select pii_type, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0::double end, 6) as f1 from (
-  select coalesce(pii_type, 'OVERALL') as pii_type, tp, fp, fn, case when tp + fp > 0 then tp / (tp + fp)::double else 0.0::double end as p, case when tp + fn > 0 then tp / (tp + fn)::double else 0.0::double end as r
-  from (select pii_type, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn from c group by rollup (pii_type)))"""
 
 
 def _value_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -489,7 +501,22 @@ def split_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in _CATEGORY_TEXTS], "t string").select("t", F.explode(phrases.split_categories("t")).alias("part"))
 
 
-@query("map_dictionary")
+_SPLIT_SQL = r"list_filter(list_transform(regexp_split_to_array(t, '(?i)[;,/&]|\b(?:e|ed|and)\b'), lambda x: trim(x)), lambda x: x <> '')"
+_PHRASES_SQL = ", ".join(f"({i}, {_lit(p)}, {_lit(types)}, {len(p.split())})" for i, (p, types, _) in enumerate(sorted(config.phrase_table(), key=lambda r: -len(r[0].split()))))
+
+
+def _mapped_sql(texts: str) -> str:
+    """CTEs from ``texts(t)`` to ``mapped(t, n, k, part, types)``: one step a phrase, the longest first."""
+    return f"""with recursive ph(no, p, types, words) as (values {_PHRASES_SQL}), texts(t) as ({texts}),
+parts as (select t, len(ps) as n, unnest(range(len(ps)))::int as k, unnest(ps) as part from (select t, {_SPLIT_SQL} as ps from texts)),
+st as (select t, n, k, part, ' ' || lower(regexp_replace(part, '\\s+', ' ', 'g')) || ' ' as l, []::varchar[] as o, 0 as no from parts
+  union all select t, n, k, part, case when spot > 0 then substr(l, 1, spot - 1) || ' ' || repeat('# ', words) || substr(l, spot + length(p) + 2) else l end, case when spot > 0 then list_concat(o, types) else o end, no + 1
+    from (select st.*, ph.p, ph.types, ph.words, instr(l, ' ' || ph.p || ' ') as spot from st join ph on ph.no = st.no)),
+mapped as (select t, n, k, part, coalesce(array_to_string(coalesce(e.types, list_filter(o, lambda x, i: list_position(o, x) = i)), ','), '') as types
+  from st left join ph e on e.p = lower(regexp_replace(part, '\\s+', ' ', 'g')) where st.no = {len(config.phrase_table())})"""
+
+
+@query("map_dictionary", _mapped_sql(f"values {', '.join(f'({_lit(x)})' for x in _CATEGORY_TEXTS)}") + " select t, k, part as text, types from mapped")
 def map_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(t,) for t in _CATEGORY_TEXTS], "t string").select("t", F.posexplode(phrases.map_categories("t")).alias("k", "x"))
     return rows.select("t", "k", "x.text", F.array_join("x.pii_types", ",").alias("types"))
@@ -502,18 +529,21 @@ def grid_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"s{i}", k, list(r)) for i, g in enumerate(_GRID) for k, r in enumerate(g)], "sheet string, row_no int, cells array<string>")
 
 
-@query("register_section", """
+_SECTION_SQL = """
 with g(sheet, row_no, c0, c1, c2) as (values """ + ", ".join(f"('s{i}', {k}, '{r[0]}', '{r[1] if len(r) > 1 else ''}', '{r[2] if len(r) > 2 else ''}')" for i, g in enumerate(_GRID) for k, r in enumerate(g)) + """),
 h as (select sheet, min(row_no) as h from g where c0 = 'Categories of personal data' group by sheet),
 n as (select sheet, arg_min(c1, row_no) as name from g where c0 = 'Name of the processing operation' group by sheet),
 a as (select g.*, min(case when c0 = '' then row_no end) over (partition by g.sheet) as stop from g join h using (sheet) where row_no > h)
-select regexp_replace(lower(trim(n.name)), '\\s+', '-', 'g') as activity_id, c0 as raw_text, c1 as category_text, c2 as retention_text from a join n using (sheet) where n.name <> '' and (stop is null or row_no < stop)""")
+select regexp_replace(lower(trim(n.name)), '\\s+', '-', 'g') as activity_id, c0 as raw_text, c1 as category_text, c2 as retention_text from a join n using (sheet) where n.name <> '' and (stop is null or row_no < stop)"""
+
+
+@query("register_section", _SECTION_SQL)
 def register_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = register.ingest(grid_frame(spark))
     return register.flat(r["activities"], r["macros"], r["categories"]).select("activity_id", F.col("macro_text").alias("raw_text"), "category_text", "retention_text")
 
 
-@query("register_map_pass")
+@query("register_map_pass", _mapped_sql(f"select category_text from ({_SECTION_SQL})") + " select case when n = 1 and types = '' then t else part end as raw_text, types, 'proposed' as mapping_state from mapped")
 def register_map_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = register.ingest(grid_frame(spark))
     return register.map_pass(r["categories"]).select("raw_text", F.array_join("pii_types", ",").alias("types"), "mapping_state")
@@ -697,3 +727,128 @@ def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 5
     raw = F.when(k == 0, F.lit("/etc/x")).when(k == 1, F.lit("a/../../x")).when(k == 2, F.concat(F.lit("a/./b"), "page_id", F.lit(".txt"))).when(k == 3, F.lit("c//d.txt")).otherwise(F.lit("x.txt"))
     return table(spark, sf_dir, "pages").select("page_id", safe_relative(raw).alias("path"))
+
+
+# --- edits, faults and small reports ----------------------------------------------------
+
+_ONE = 5
+
+
+def _one_id(spark: SparkSession, sf_dir: str) -> str:
+    return documents(spark, sf_dir).where(F.col("doc_id") == _ONE).first()["document_id"]
+
+
+@query("assign_activities", f"select doc_id, case doc_id when {_ONE} then 'payroll,legal' else 'old' end as ids, case doc_id when {_ONE} then 'manual' end as association_source from documents")
+def assign_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select("document_id", F.array(F.lit("old")).alias("activity_ids"), F.lit(None).cast("string").alias("association_source"))
+    done = registry.assign_activities(d, _one_id(spark, sf_dir), ["payroll", "legal"])
+    return _with_doc(done).select("doc_id", F.array_join("activity_ids", ",").alias("ids"), "association_source")
+
+
+@query("save_rule", "select prefix, array_to_string(ids, ',') as ids from (values ('', ['records']), ('src1/en', ['contracts', 'payroll']), ('src2/', ['legal']), ('src3/de', ['ghost']), ('src1', ['legal', 'records'])) r(prefix, ids)")
+def save_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = rules_frame(spark).withColumn("created_at", now())
+    return registry.save_rule(old, " /src1/ ", ["legal", "records"], None).select("prefix", F.array_join("activity_ids", ",").alias("ids"))
+
+
+@query("delete_rule", f"""
+with m as (select doc_id, any_value(r.ids) as ids from documents d, {_RULES_SQL} where r.prefix not in ('', 'src1/en') and ({DOC_ID} = r.prefix or starts_with({DOC_ID}, r.prefix || '/')) group by doc_id),
+s as (select d.doc_id, case doc_id % 3 when 0 then 'manual' when 1 then 'rule' end as src, m.ids from documents d left join m using (doc_id))
+select doc_id, array_to_string(case when src = 'manual' then ['old'] when ids is not null then ids when src = 'rule' then []::varchar[] else ['old'] end, ',') as ids,
+  case when src = 'manual' then src when ids is not null then 'rule' end as association_source from s""")
+def delete_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("doc_id") % 3 == 0, "manual").when(F.col("doc_id") % 3 == 1, "rule")
+    d = documents(spark, sf_dir).select("document_id", F.array(F.lit("old")).alias("activity_ids"), source.alias("association_source"))
+    done, _ = registry.delete_rule(d, rules_frame(spark).where("prefix <> ''"), "src1/en/")
+    return _with_doc(done).select("doc_id", F.array_join("activity_ids", ",").alias("ids"), "association_source")
+
+
+@query("category_edits", f"""
+select ctext as raw_text, case cid when 12 then 'iban' else array_to_string(types, ',') end as types, case when cid = 12 or mid = 5 then 'confirmed' else state end as mapping_state from {_CATS_SQL} where cid <> 42
+union all values ('mobile', 'phone', 'proposed'), ('fax', '', 'proposed')""")
+def category_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row gets a type, one is parted, one macro category is confirmed."""
+    edited = register.split_category(register.update_category(categories(spark), 12, ["iban"]), 42, [("mobile", ["phone"]), ("fax", [])])
+    return register.confirm_macro(edited, 5).select("raw_text", F.array_join("pii_types", ",").alias("types"), "mapping_state")
+
+
+@query("declared_order", f"select aid as activity_id, string_agg(t, ',' order by o) as types from (select aid, t, min(cid * 100 + k) as o from (select m.aid, c.cid, unnest(c.types) as t, unnest(range(len(c.types))) as k from {_CATS_SQL} join {_MACROS_SQL} using (mid)) group by aid, t) group by aid")
+def declared_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = categories(spark).join(macros(spark).select(F.col("id").alias("macro_category_id"), "activity_id"), "macro_category_id")
+    return register.declared_order(own.select("activity_id", F.col("id").alias("ord"), "pii_types")).select("activity_id", F.array_join("pii_types", ",").alias("types"))
+
+
+@query("slugs", r"select c_custkey, case when c_custkey % 10 = 0 then 'activity' else regexp_replace(lower(trim(c_mktsegment || '  ' || c_name)), '\s+', '-', 'g') end as slug from customer")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 10 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), "c_mktsegment", F.lit("  "), "c_name", F.lit(" ")))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.slug(name).alias("slug"))
+
+
+@query("inventory_by_format", "select case doc_id % 4 when 0 then '.pdf' when 1 then '.txt' when 2 then '.docx' else '' end as format, count(*) as n from documents group by 1")
+def inventory_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    return registry.formats(documents(spark, sf_dir).select(F.concat("document_id", F.when(k == 0, ".PDF").when(k == 1, ".txt").when(k == 2, ".tar.docx").otherwise("")).alias("document_id")))
+
+
+@query("handling_faults", "select doc_id, 'missing' as fault from documents where doc_id % 5 <> 0 and doc_id % 7 = 1 union all select doc_id, 'unexpected' from documents where doc_id % 5 = 0 and doc_id % 7 <> 1")
+def handling_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    manifest = d.select("document_id", F.when(F.col("doc_id") % 5 == 0, "skipped").otherwise("scannable").alias("expectation"))
+    return _with_doc(score.handling(manifest, d.where("doc_id % 7 <> 1").select("document_id"))).select("doc_id", "fault")
+
+
+@query("retention_faults", f"""
+with o as (select {DOC_ID} as d from documents where doc_id % 9 = 0), e(prefix) as (values ('src1'), ('src2/en'), ('nowhere'))
+select prefix as what, 'silent' as fault from e where not exists (select 1 from o where starts_with(d, prefix || '/'))
+union all select d, 'unexpected' from o where not exists (select 1 from e where starts_with(d, prefix || '/'))""")
+def retention_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([("src1",), ("src2/en",), ("nowhere",)], "prefix string")
+    return score.retention_check(expected, documents(spark, sf_dir).where("doc_id % 9 = 0").select("document_id"))
+
+
+@query("mapper_score", """
+with c as (select sum((quality = 1)::int + (toxic = 0)::int)::bigint as tp, sum((quality <> 1)::int + (toxic <> 0)::int)::bigint as f from labels)
+select tp, f as fp, f as fn, tp + f as support, round(tp / (tp + f)::double, 6) as precision, round(tp / (tp + f)::double, 6) as recall, round(tp / (tp + f)::double, 6) as f1 from c""")
+def mapper_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string"))
+    cases = table(spark, sf_dir, "labels").select(F.array(q, t, t).alias("got"), F.array(F.lit("q1"), F.lit("t0"), F.lit("q1")).alias("expected"))
+    return score.mapper_counts(cases).select("tp", "fp", "fn", "support", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
+
+
+@query("extraction_tax", f"""
+with {_VALUES}, x as (select doc_id, v, count(*) as n from d group by all), y as (select doc_id, v, count(*) as n from g group by all),
+c as (select (select sum(n) from y) as ng, (select sum(n) from x) as na, (select sum(n) from x where doc_id % 2 = 0) as nb, (select sum(least(x.n, y.n)) from x join y using (doc_id, v)) as ta, (select sum(least(x.n, y.n)) from x join y using (doc_id, v) where doc_id % 2 = 0) as tb),
+f as (select coalesce(2 * ta / (na + ng)::double, 0) as a, coalesce(2 * tb / (nb + ng)::double, 0) as b from c)
+select round(a, 6) as f1_clean, round(b, 6) as f1_extracted, round(a - b, 6) as tax from f""")
+def extraction_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if the extraction had lost the odd documents."""
+    clean, gold = _value_sides(spark, sf_dir)
+    t = score.extraction_tax(clean, clean.where("document_id % 2 = 0"), gold)
+    return t.select(*[F.round(x, 6).alias(x) for x in ("f1_clean", "f1_extracted", "tax")])
+
+
+@query("benchmark_rows", f"""{_SPAN_COUNTS}, o as ({_PRF})
+select 'loose' as label, precision, recall, f1, 0.3::double as s_doc, null::double as wh_doc from o where pii_type = 'OVERALL' union all select 'same', 1, 1, 1, 0.6, 0.015""")
+def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _side(spark, sf_dir, "r")
+    b = score.benchmark({"loose": (_side(spark, sf_dir, "n"), 30.0, None), "same": (gold, 60.0, 1.5)}, gold, 100)
+    return b.select("label", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "s_doc", "wh_doc")])
+
+
+@query("breach_share", _HELD + ' select count(*) filter (flags > 0) as breaches, count(*) as "rows" from (select doc_id, count(*) filter (age > months) as flags from h where age > months or months is null group by doc_id)')
+def breach_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comply.breach_share(comply.overview(associated(spark, sf_dir), instances(spark, sf_dir), activities(spark), *_register(spark), now(), include_proposed=False))
+
+
+@query("check_document", _VERDICT_CTE + f" select doc_id, array_to_string(list_filter(det, lambda x: not list_contains(dec, x)), ',') as orphan, array_to_string(list_filter(det, lambda x: list_contains(dec, x)), ',') as covered, array_to_string(list_filter(dec, lambda x: not list_contains(det, x)), ',') as missing from s where doc_id = {_ONE}")
+def check_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, _ = comply.check_document(_one_id(spark, sf_dir), associated(spark, sf_dir), instances(spark, sf_dir), activities(spark), *_register(spark), now())
+    return _with_doc(r).select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("orphan", "covered", "missing")])
+
+
+@query("retention_without_months", f"select doc_id, 'legal' as activity_id, 'Identity' as category, null::int as retention_months from documents where doc_id % 2 = 0 and starts_with({DOC_ID}, 'src2/')")
+def retention_without_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents hold an e-mail address; one activity declares these without a retention."""
+    held = documents(spark, sf_dir).where("doc_id % 2 = 0").select("document_id", F.col("doc_id").alias("id"), F.lit("email").alias("pii_type"))
+    r = comply.retention(associated(spark, sf_dir), held, *_register(spark), now())
+    return _with_doc(r.where("unverifiable")).select("doc_id", "activity_id", "category", "retention_months")
