@@ -1,58 +1,141 @@
 """The registry of references: snapshots of its tables, and the writes as frame to frame functions.
 
-Plain Parquet has no MERGE, so every write makes a new version directory and then moves a
-small pointer file; readers see the old or the new version, never half of one.
+Plain Parquet has no MERGE, so every write makes a new folder of data and then a small
+pointer file that names the folders of the version; readers see the old or the new version,
+never half of one.  Tables of documents are cut into parts by a hash of the document: a
+write of some parts takes the folders of the others over from the version before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 
 TABLES = {"document": schemas.DOCUMENT, "scan": schemas.SCAN, "instance": schemas.INSTANCE, "rule": schemas.RULE, "activity": schemas.ACTIVITY, "macro": schemas.MACRO, "category": schemas.CATEGORY}
+OF_DOCUMENTS = ("document", "scan", "instance")
+
+
+class Conflict(RuntimeError):
+    """Another writer has made a version since this store read the table."""
 
 
 class Store:
-    """Versioned tables under one root, in any file system that Spark knows."""
+    """Versioned tables under one root, in any file system that Spark knows and that creates a file only once.
+
+    ``parts``: into how many a table of documents is cut; ``grace``: seconds that a version stays for its readers after
+    it was replaced.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64, grace: float = 3600) -> None:
+        self.spark, self.root, self.parts, self.grace = spark, root.rstrip("/"), parts, grace
+        self._seen: dict[str, int] = {}
 
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self, table: str) -> int:
+    def _pointers(self, table: str) -> dict[int, float]:
+        """Versions with the second they were made in."""
         p, fs = self._path(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([int(n[8:]) for n in names if n.startswith("CURRENT-")], default=0)
-
-    def read(self, table: str) -> DataFrame:
-        v = self.version(table)
-        if not v:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(self.spark.createDataFrame([], TABLES[table]).schema).parquet(f"{self.root}/{table}/v={v}")
-
-    def write(self, table: str, rows: DataFrame, keep: int = 2) -> int:
-        """A new version with exactly the columns of the table; the pointer is created last, old versions go."""
-        columns = [c.split()[0] for c in TABLES[table].split(", ")]
-        v = self.version(table) + 1
-        rows.select(*[F.col(c).cast(t.split(maxsplit=1)[1]).alias(c) for c, t in zip(columns, TABLES[table].split(", "), strict=True)]).write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
+        listed = fs.listStatus(p) if fs.exists(p) else []
+        return {int(s.getPath().getName()[8:]): s.getModificationTime() / 1000 for s in listed if s.getPath().getName().startswith("CURRENT-")}
+
+    def _manifest(self, table: str, v: int) -> dict | None:
+        """``parts`` and ``folders`` of a version; null if its writer ended before the pointer was whole."""
         p, fs = self._path(f"{self.root}/{table}/CURRENT-{v}")
-        fs.create(p, True).close()
-        for old in range(max(1, v - keep - 5), v - keep + 1):
-            for name in (f"CURRENT-{old}", f"v={old}"):
-                q, _ = self._path(f"{self.root}/{table}/{name}")
-                fs.delete(q, True)
-        return v
+        stream = fs.open(p)
+        raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        try:
+            return json.loads(raw)
+        except ValueError:
+            return None
+
+    def _current(self, table: str) -> tuple[int, dict]:
+        for v in sorted(self._pointers(table), reverse=True):
+            if (found := self._manifest(table, v)) is not None:
+                return v, found
+        return 0, {"parts": self.parts, "folders": {}}
+
+    def version(self, table: str) -> int:
+        return self._current(table)[0]
+
+    def part(self, table: str) -> Column:
+        """The part of a row's document."""
+        return F.pmod(F.xxhash64("document_id"), F.lit(self._current(table)[1]["parts"])).cast("int")
+
+    def parts_of(self, rows: DataFrame) -> list[int]:
+        """The parts that ``rows(document_id)`` touch; the tables of documents are cut alike."""
+        return [r.p for r in rows.select(self.part("document").alias("p")).distinct().collect()]
+
+    def read(self, table: str, parts: list[int] | None = None) -> DataFrame:
+        v, found = self._current(table)
+        self._seen[table] = v
+        empty = self.spark.createDataFrame([], TABLES[table])
+        folders = [f for k, f in found["folders"].items() if parts is None or int(k) in parts]
+        return self.spark.read.schema(empty.schema).parquet(*[f"{self.root}/{table}/{f}" for f in folders]) if folders else empty
+
+    def write(self, table: str, rows: DataFrame, keep: int = 2, parts: list[int] | None = None) -> int:
+        """A new version with exactly the columns of the table; the pointer is created last, old versions go.
+
+        ``parts``: only these are replaced, by ``rows``.  Fails with ``Conflict`` if the table has changed since this
+        store read it.
+        """
+        fields = [c.split(maxsplit=1) for c in TABLES[table].split(", ")]
+        v, found = self._current(table)
+        if self._seen.get(table, v) != v:
+            raise Conflict(f"{table}: version {v} is newer than {self._seen[table]}, which was read")
+        data, kept = f"data-{uuid.uuid4().hex}", {}
+        cells = rows.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
+        if table in OF_DOCUMENTS:
+            # Spark joins small parts in a task and splits great ones
+            cells.withColumn("part", self.part(table)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.root}/{table}/{data}")
+            p, fs = self._path(f"{self.root}/{table}/{data}")
+            made = {n[5:]: f"{data}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("part=")}
+            if parts is not None:
+                kept = {k: f for k, f in found["folders"].items() if int(k) not in parts}
+                if not set(map(int, made)) <= set(parts):
+                    raise ValueError(f"{table}: rows outside of the parts that are replaced")
+        else:
+            cells.write.parquet(f"{self.root}/{table}/{data}")
+            made = {"0": data}
+        new = max(self._pointers(table), default=0) + 1
+        p, fs = self._path(f"{self.root}/{table}/CURRENT-{new}")
+        try:
+            out = fs.create(p, False)  # fails if there is one
+        except Py4JJavaError as e:
+            raise Conflict(f"{table}: version {new} was made by another writer") from e
+        out.write(bytearray(json.dumps({"parts": found["parts"], "folders": kept | made}).encode()))
+        out.close()
+        self._seen[table] = new
+        self._clean(table, keep)
+        return new
+
+    def _clean(self, table: str, keep: int) -> None:
+        """Versions but the last ``keep`` go once they are replaced for ``grace`` seconds, and folders that no other version names."""
+        made = self._pointers(table)
+        order = sorted(made)
+        old = [v for v, after in zip(order, order[1:]) if v in order[:-keep] and made[after] < time.time() - self.grace]
+        if not old:
+            return
+        folders = {v: set((self._manifest(table, v) or {"folders": {}})["folders"].values()) for v in order}
+        used = set().union(*(folders[v] for v in order if v not in old))
+        for v in old:
+            for name in (f"CURRENT-{v}", *(folders[v] - used)):
+                p, fs = self._path(f"{self.root}/{table}/{name}")
+                fs.delete(p, True)
 
     def clear(self, *tables: str) -> None:
         for t in tables or TABLES:
+            self._seen.pop(t, None)
             self.write(t, self.spark.createDataFrame([], TABLES[t]))
 
 

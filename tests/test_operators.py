@@ -524,6 +524,42 @@ def test_stream(spark, tmp_path):
         ingest.into_registry(spark.readStream.schema(schema).parquet(str(src)), store, str(tmp_path / "cp")).awaitTermination(120)
         assert {x.pii_type: x.n for x in store.read("instance").groupBy("pii_type").agg(F.count("*").alias("n")).collect()} == want
     assert store.read("scan").count() == 2
+    found = ingest.scan_stream(spark.read.schema(schema).parquet(str(src)).select("document_id", "text", "at"))
+    assert {(r.pii_type, r.n) for r in ingest.counts_by_window(found).groupBy("pii_type").agg(F.sum("n").alias("n")).collect()} == {("email", 2), ("ip_address", 1)}
+
+
+def test_stream_replaces_parts_of_its_documents(spark, tmp_path):
+    store = registry.Store(spark, str(tmp_path / "reg"), parts=4)
+    row = lambda d: (d, "/" + d, *[None] * 9)
+    store.write("document", spark.createDataFrame([row(str(i)) for i in range(20)], schemas.DOCUMENT))
+    folders = lambda: store._current("document")[1]["folders"]
+    before = folders()
+    one = spark.createDataFrame([("3",)], "document_id string")
+    parts = store.parts_of(one)
+    assert len(parts) == 1 and len(before) == 4
+    own = store.read("document", parts)
+    store.write("document", own.where("document_id <> '3'"), parts=parts)
+    after = folders()
+    assert {k for k in before if before[k] != after[k]} == {str(parts[0])}
+    assert {r.document_id for r in store.read("document").collect()} == {str(i) for i in range(20)} - {"3"}
+    with pytest.raises(ValueError):
+        store.write("document", store.read("document"), parts=parts)
+
+
+def test_two_writers_of_the_registry(spark, tmp_path):
+    a, b = (registry.Store(spark, str(tmp_path / "reg"), grace=g) for g in (3600, 0))
+    rule = lambda p: spark.createDataFrame([(p, ["x"], None)], schemas.RULE)
+    rows = a.read("rule")
+    b.write("rule", rule("b"))
+    with pytest.raises(registry.Conflict):
+        a.write("rule", rows.unionByName(rule("a")))
+    old = a.read("rule")
+    assert a.write("rule", rule("a")) == 2 and old.first().prefix == "b"
+    # a pointer that its writer didn't end counts for nothing
+    (tmp_path / "reg" / "rule" / "CURRENT-3").write_text('{"par')
+    assert b.version("rule") == 2 and b.read("rule").first().prefix == "a"
+    assert b.write("rule", rule("c"), keep=1) == 4 and b.read("rule").first().prefix == "c"
+    assert len(list((tmp_path / "reg" / "rule").glob("data-*"))) == 1
 
 
 def test_reports(spark):
