@@ -280,7 +280,7 @@ def load_table(path: str | Path, layout: _Table, known_types: tuple[str, ...] |
 
 
 def load_rules(path: str | Path, known_types: tuple[str, ...] | None = None) -> tuple[Rule, ...]:
-    return tuple(Rule(r["rule_id"], r["pii_type"], r["pattern"], float(r["base_confidence"]), r["flags"]) for r in load_table(path, RULES_FILE, known_types or catalog_ids()))
+    return tuple(Rule(r["rule_id"], r["pii_type"], r["pattern"], float(r["base_confidence"]), tuple(r["flags"])) for r in load_table(path, RULES_FILE, known_types or catalog_ids()))
 
 
 def load_phrases(path: str | Path, known_types: tuple[str, ...] | None = None) -> list[tuple[str, list[str], int]]:

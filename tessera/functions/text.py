@@ -20,6 +20,39 @@ def normalize(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\A[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Offsets are summed in blocks of this many, so that the time is near to proportional to the number of matches.
+BLOCK = 256
+
+
+def _placed(gaps: Column, sizes: Column, kind: str, make) -> Column:
+    """``make(k, start, end)`` for the k-th of ``sizes``, each of which stands behind its gap."""
+    empty = F.array().cast(kind)
+
+    def blocks(both: Column) -> Column:
+        n = F.size(both)
+        cut = F.transform(F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int")), lambda b: F.slice(both, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<array<struct<k:int,gap:int,size:int>>>"))
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda at, x: at + x["gap"] + x["size"]))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda at, t: F.array_append(at, F.element_at(at, -1) + t))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["size"]
+            return F.struct(end.alias("at"), F.array_append(acc["out"], make(x["k"], start, end)).cast(kind).alias("out"))
+
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
+
+    rows = F.transform(sizes, lambda x, k: F.struct(k.alias("k"), F.get(gaps, k).alias("gap"), x.alias("size")))
+    return let(rows, lambda r: let(blocks(r), summed))
+
+
 def spans(text: Column | str, pattern: str | Column, needs: str = "") -> Column:
     """All leftmost non-overlapping matches as (start, end, text), half-open, in code points.
 
@@ -29,20 +62,15 @@ def spans(text: Column | str, pattern: str | Column, needs: str = "") -> Column:
     """
     t = F.coalesce(as_column(text), F.lit(""))
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(t, p, F.lit(0))
-    gaps = F.split(t, p, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
-    folded = F.aggregate(pairs, empty, step, lambda acc: F.filter(acc["out"], lambda s: s["end"] > s["start"]))
+    none = F.array().cast(SPANS)
+
+    def place(found: Column) -> Column:
+        gaps = F.transform(F.split(t, p, -1), lambda g: F.length(g))
+        span = lambda k, start, end: F.struct(start.alias("start"), end.alias("end"), F.get(found, k).alias("text"))
+        return F.filter(let(gaps, lambda g: _placed(g, F.transform(found, lambda m: F.length(m)), SPANS, span)), lambda s: s["end"] > s["start"])
+
     hit = F.contains(t, F.lit(needs)) & F.rlike(t, p) if needs else F.rlike(t, p)
-    return F.when(hit, folded).otherwise(F.array().cast(SPANS))
+    return F.when(hit, let(F.regexp_extract_all(t, p, F.lit(0)), place)).otherwise(none)
 
 
 ANNOTATION = r"(?s)\{\{(.*?):(.*?)\}\}"
@@ -52,19 +80,15 @@ def annotated(text: Column | str) -> Column:
     """``{{type:value}}`` markers as struct(text without markers, spans (start, end, pii_type) in it)."""
     t = as_column(text)
     types = F.regexp_extract_all(t, F.lit(ANNOTATION), F.lit(1))
-    values = F.regexp_extract_all(t, F.lit(ANNOTATION), F.lit(2))
-    gaps = F.split(t, ANNOTATION, -1)
+    sizes = F.transform(F.regexp_extract_all(t, F.lit(ANNOTATION), F.lit(2)), lambda v: F.length(v))
+    gaps = F.transform(F.split(t, ANNOTATION, -1), lambda g: F.length(g))
     kind = "array<struct<start:int,end:int,pii_type:string>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    rows = F.arrays_zip(types.alias("k"), values.alias("v"), F.slice(gaps, 1, F.size(types)).alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["v"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.trim(x["k"]).alias("pii_type"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def place(known: Column) -> Column:
+        span = lambda k, start, end: F.struct(start.alias("start"), end.alias("end"), F.trim(F.get(known, k)).alias("pii_type"))
+        return let(gaps, lambda g: _placed(g, sizes, kind, span))
 
-    return F.struct(F.regexp_replace(t, ANNOTATION, "$2").alias("text"), F.aggregate(rows, empty, step, lambda a: a["out"]).alias("spans"))
+    return F.struct(F.regexp_replace(t, ANNOTATION, "$2").alias("text"), let(types, place).alias("spans"))
 
 
 def annotate(pii_type: Column | str, value: Column | str) -> Column:

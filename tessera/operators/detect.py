@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,24 @@ def candidate(start: Column, end: Column, text: Column, pii_type: Column, confid
 
 def rule_candidates(text: Column | str, rules: Iterable[config.Rule] = config.DEFAULT_RULES) -> Column:
     """``array<candidate>`` of all rules, rule by rule, each leftmost first: one expression, one scan of the table."""
-    def of(r: config.Rule) -> Column:
-        return F.transform(tx.spans(text, r.java, r.needs), lambda s: candidate(s["start"], s["end"], s["text"], F.lit(r.pii_type), F.lit(r.base_confidence), F.lit(f"regex.{r.rule_id}"), F.lit("regex")))
-
-    made = [of(r) for r in rules]
+    made = [_of_rule(text, r) if isinstance(text, str) else _rule(text, r) for r in rules]
     return F.concat(*made) if made else F.array().cast(f"array<{CANDIDATE}>")
 
 
+def _rule(text: Column | str, r: config.Rule) -> Column:
+    return F.transform(tx.spans(text, r.java, r.needs), lambda s: candidate(s["start"], s["end"], s["text"], F.lit(r.pii_type), F.lit(r.base_confidence), F.lit(f"regex.{r.rule_id}"), F.lit("regex")))
+
+
+def _of_rule(text: str, r: config.Rule) -> Column:
+    """A column is a description that any query can use; as making one takes hundreds of calls to the JVM, it is kept."""
+    return _kept(text, r, id(SparkContext._gateway))
+
+
+@lru_cache(maxsize=256)
+def _kept(text: str, r: config.Rule, jvm: int) -> Column:
+    return _rule(text, r)
+
+
 def explode_candidates(df: DataFrame, column: str) -> DataFrame:
     """One row a candidate, with ``ord``: its place in the array, which later folds rely on."""
     others = [c for c in df.columns if c != column]

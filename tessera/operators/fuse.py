@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import iou, overlaps
+from ..functions.text import let
 from ..schemas import CANDIDATE, MATCH, PROVENANCE
 
 
@@ -26,11 +27,6 @@ def _single(c: Column, level: str) -> Column:
     return _match(c, F.lit(level), c["confidence"], F.array(_source(c)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _best(span: Column, among: Column, ratio: float, allowed=None) -> Column:
     """Index of the highest IoU at or over ``ratio``, lowest index on ties; null without one."""
     scored = F.transform(among, lambda y, j: F.struct((-iou(span, y)).alias("v"), j.alias("j")))
@@ -49,7 +45,7 @@ def fuse(regex: Column, ner: Column, ai: Column | None = None, ratio: float = 0.
 
     def pair(acc: Column, x: Column) -> Column:
         best = _best(x, n, ratio, lambda j: ~F.array_contains(acc["u"], j))
-        return _let(best, lambda b: F.struct(
+        return let(best, lambda b: F.struct(
             F.when(b.isNull(), acc["u"]).otherwise(F.array_append(acc["u"], b)).cast(ints).alias("u"),
             F.array_append(acc["p"], F.coalesce(b, F.lit(-1))).cast(ints).alias("p"),
         ))
@@ -71,7 +67,7 @@ def fuse(regex: Column, ner: Column, ai: Column | None = None, ratio: float = 0.
         free = F.filter(F.transform(n, lambda y, j: F.struct(y.alias("y"), j.alias("j"))), lambda z: ~F.array_contains(p["u"], z["j"]))
         return F.concat(of_regex, F.transform(free, lambda z: _single(z["y"], "single_source")).cast(f"array<{MATCH}>"))
 
-    before = _let(paired, assemble)
+    before = let(paired, assemble)
     if ai is None:
         return before
 
@@ -92,11 +88,11 @@ def fuse(regex: Column, ner: Column, ai: Column | None = None, ratio: float = 0.
                 )
 
             # only what stood before the language model pass is a target
-            return _let(_best(x, F.slice(acc, F.lit(1), F.size(m)), ratio), act)
+            return let(_best(x, F.slice(acc, F.lit(1), F.size(m)), ratio), act)
 
         return F.aggregate(a, m.cast(f"array<{MATCH}>"), step)
 
-    return _let(before, absorb)
+    return let(before, absorb)
 
 
 def gather(candidates: DataFrame, name: str) -> DataFrame:

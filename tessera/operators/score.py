@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import iou
@@ -30,19 +30,28 @@ def report(counts: DataFrame, overall: str = "OVERALL") -> DataFrame:
     return metrics(rows.select(F.when(F.col("g") == 1, F.lit(overall)).otherwise(F.col("pii_type")).alias("pii_type"), "tp", "fp", "fn"))
 
 
-def _sides(detected: DataFrame, gold: DataFrame) -> DataFrame:
-    def side(df: DataFrame, name: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("ord", "start", "end", "pii_type")))
-        return df.groupBy("document_id").agg(F.transform(rows, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pii_type"].alias("pii_type"))).alias(name))
+def _islands(detected: DataFrame, gold: DataFrame, ratio: float) -> DataFrame:
+    """``document_id, pii_type, d, g``: the spans of both sides, in order of ``ord``, that reach one another by overlaps.
 
-    both = side(detected, "d").join(side(gold, "g"), "document_id", "full")
-    empty = F.array().cast(SPAN)
-    return both.select("document_id", F.coalesce("d", empty).alias("d"), F.coalesce("g", empty).alias("g"))
+    Only spans of one type that overlap can be matched, so islands are independent, however long a document is.
+    """
+    side = lambda df, name: df.select("document_id", "pii_type", "start", "end", "ord", F.lit(name).alias("side"))
+    w = Window.partitionBy("document_id", "pii_type").orderBy("start", "end", "side", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(False)) if ratio > 0 else F.lit(False)  # at 0 all spans match
+    rows = side(detected, "d").unionByName(side(gold, "g")).withColumn("apart", apart.cast("int"))
+    rows = rows.withColumn("island", F.sum("apart").over(w))
+
+    def own(name: str):
+        cells = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("ord", "start", "end", "pii_type"))))
+        return F.transform(cells, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pii_type"].alias("pii_type"))).cast(SPAN).alias(name)
+
+    return rows.groupBy("document_id", "pii_type", "island").agg(own("d"), own("g"))
 
 
 def span_counts(detected: DataFrame, gold: DataFrame, ratio: float = 0.5) -> DataFrame:
     """tp, fp, fn a document and type: greedy one to one, best IoU first, ties to the highest places."""
-    rows = _sides(detected, gold)
+    rows = _islands(detected, gold, ratio)
     pairs = F.flatten(F.transform("d", lambda x, i: F.transform("g", lambda y, j: F.struct(F.when(x["pii_type"] == y["pii_type"], iou(x, y)).otherwise(-1.0).alias("v"), i.alias("i"), j.alias("j")))))
     best = F.sort_array(F.filter(pairs, lambda z: z["v"] >= ratio), asc=False)
     ints = F.array().cast("array<int>")
@@ -51,12 +60,10 @@ def span_counts(detected: DataFrame, gold: DataFrame, ratio: float = 0.5) -> Dat
         free = ~F.array_contains(acc["i"], z["i"]) & ~F.array_contains(acc["j"], z["j"])
         return F.when(free, F.struct(F.array_append(acc["i"], z["i"]).cast("array<int>").alias("i"), F.array_append(acc["j"], z["j"]).cast("array<int>").alias("j"))).otherwise(acc)
 
-    used = rows.withColumn("u", F.aggregate(best, F.struct(ints.alias("i"), ints.alias("j")), step))
-    tag = lambda col, place: F.transform(col, lambda x, i: F.struct(x["pii_type"].alias("pii_type"), F.array_contains(F.col("u")[place], i).alias("hit"), F.lit(place).alias("side")))
-    each = used.select("document_id", F.explode(F.concat(tag("d", "i"), tag("g", "j"))).alias("x")).select("document_id", "x.*")
-    found, missed = F.col("side") == "i", F.col("side") == "j"
-    count = lambda c, name: F.count_if(c).alias(name)
-    return each.groupBy("document_id", "pii_type").agg(count(found & F.col("hit"), "tp"), count(found & ~F.col("hit"), "fp"), count(missed & ~F.col("hit"), "fn"))
+    hits = F.aggregate(best, F.struct(ints.alias("i"), ints.alias("j")), step, lambda acc: F.size(acc["i"]))
+    counts = rows.select("document_id", "pii_type", F.size("d").alias("nd"), F.size("g").alias("ng"), hits.alias("tp"))
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    return counts.groupBy("document_id", "pii_type").agg(total("tp", "tp"), total(F.col("nd") - F.col("tp"), "fp"), total(F.col("ng") - F.col("tp"), "fn"))
 
 
 def _multisets(detected: DataFrame, gold: DataFrame, keys: list[str], how: str) -> DataFrame:
