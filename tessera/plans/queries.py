@@ -201,10 +201,22 @@ def ai_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ai_sample(documents(spark, sf_dir).select("document_id"), 10)
 
 
-@query("engine_gazetteer")
+def _placed_sql(pattern: str, rank: int, pii_type: str, confidence: float) -> str:
+    """``document_id, r, k, start, value, pii_type, confidence`` of a pattern, offsets by the lengths of gaps and matches."""
+    return f"""
+    select document_id, {rank} as r, i as k, (list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::int as start, m[i + 1] as value, '{pii_type}' as pii_type, {confidence}::double as confidence
+    from (select document_id, unnest(range(len(m))) as i, m, g from (select {DOC_ID} as document_id, regexp_extract_all(text, '{pattern}') as m, regexp_split_to_array(text, '{pattern}') as g from documents))"""
+
+
+_SHARED_SQL = [_placed_sql(_pattern(r.rule_id), i, r.pii_type, r.base_confidence) for i, r in enumerate(SHARED)]
+_WORDS = {"PERSON": ("Thea", "Anand"), "LOCATION": ("Chen", "Erst")}
+_IN_ORDER = "(row_number() over (partition by document_id order by r, k) - 1)::int as ord"
+
+
+@query("engine_gazetteer")  # without SQL: at letters outside of ASCII its word boundaries are others
 def engine_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("document_id", "text")
-    engine = detect.gazetteer({"PERSON": ("Thea", "Anand"), "LOCATION": ("Chen", "Erst")})
+    engine = detect.gazetteer(_WORDS)
     return jobs.scan_documents(d, SHARED, engine).select("document_id", "ord", "start", "end", "pii_type", "confidence", "level")
 
 
@@ -852,3 +864,71 @@ def retention_without_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = documents(spark, sf_dir).where("doc_id % 2 = 0").select("document_id", F.col("doc_id").alias("id"), F.lit("email").alias("pii_type"))
     r = comply.retention(associated(spark, sf_dir), held, *_register(spark), now())
     return _with_doc(r.where("unverifiable")).select("doc_id", "activity_id", "category", "retention_months")
+
+
+# --- literal cases, the order of a scan, windows of time --------------------------------
+
+#: (text, type and value of each finding).  The blanks and the letter outside of the basic plane tell code points from units.
+_CASES = (
+    ("\U0001f600 pay CH93 0076 2011 6238 5295 7, now", (("iban", "CH93 0076 2011 6238 5295 7"), ("credit_card", "0076 2011 6238 5295 7"))),
+    ("IBAN DE89370400440532013000; code RSSMRA85T10A562S.", (("iban", "DE89370400440532013000"), ("italian_id", "RSSMRA85T10A562S"))),
+    ("\u00e9t\u00e9 756.9217.0769.85 / 7569217076985!", (("credit_card", "7569217076985"), ("swiss_avs", "756.9217.0769.85"), ("swiss_avs", "7569217076985"))),
+    ("card 4111-1111-1111-1111, host 192.0.2.17.", (("credit_card", "4111-1111-1111-1111"), ("ip_address", "192.0.2.17"))),
+    ("mail anna.keller@example.org, thanks", (("email", "anna.keller@example.org"),)),
+    ("nothing 757.9217.0769.85, no CH9, no RSSMRA85Z10A562S", ()),
+    ("", ()),
+)
+_CASE_ROWS = [(i, kind, value, text) for i, (text, found) in enumerate(_CASES) for kind, value in found]
+
+
+@query("rule_literals", "select n, pii_type, (strpos(text, value) - 1)::int as start, (strpos(text, value) - 1 + length(value))::int as \"end\", value from (values " + ", ".join(f"({i}, '{k}', '{v}', '{t}')" for i, k, v, t in _CASE_ROWS) + ") c(n, pii_type, value, text)")
+def rule_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on texts with known findings, exact ends included."""
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_CASES)], "n int, text string")
+    c = detect.explode_candidates(d.select("n", detect.rule_candidates("text").alias("c")), "c")
+    return c.select("n", "pii_type", "start", "end", F.col("text").alias("value"))
+
+
+@query("scan_matches", f"select document_id, {_IN_ORDER}, start, rtrim(value, ' ') as value, pii_type, confidence, 'single_source' as level from ({' union all '.join(_SHARED_SQL)})")
+def scan_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of documents with patterns alone: rule by rule, each leftmost first."""
+    m = jobs.scan_documents(documents(spark, sf_dir).select("document_id", "text"), SHARED)
+    return m.select("document_id", "ord", "start", F.rtrim("text").alias("value"), "pii_type", "confidence", "level")
+
+
+@query("counts_by_window", f"select strftime(time_bucket(interval '10 minutes', timestamp '{NOW}' - to_minutes(doc_id::int)), '%Y-%m-%d %H:%M') as start, pii_type, count(*) as n from ({ALL_FOUND}) group by all")
+def counts_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import ingest
+
+    at = F.timestamp_seconds(F.unix_timestamp(now()) - F.col("doc_id") * 60)
+    found = ingest.scan_stream(documents(spark, sf_dir).select("document_id", "text", at.alias("at")))
+    return ingest.counts_by_window(found).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "pii_type", "n")
+
+
+@query("chunk_health", "select count(*) as chunks_seen, count(*) filter (least(2000, length(text) - 1800 * k) % 2 = 1) as chunks_failed from (select text, unnest(range(1 + greatest(0, ceil((length(text) - 2000) / 1800.0))::int)) as k from documents where length(text) > 0)")
+def chunk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scripted backend that answers windows of even length and fails on the others."""
+
+    def backend():
+        def chat(prompt: str) -> str:
+            if len(prompt.partition("Text:\n")[2]) % 2:
+                raise TimeoutError
+            return "none: []"
+
+        return chat
+
+    return detect.chunk_health(detect.ask(detect.windows(documents(spark, sf_dir).select("document_id", "text")), backend))
+
+
+@query("report_cells", r"select doc_id, case when length(v) > 32 then substr(v, 1, 29) || '...' else v end as cell from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as v from documents)")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.cell("text").alias("cell"))
+
+
+@query("register_table", f"select a.aid as activity_id, m.mtext as macro_text, c.ctext as category_text, array_to_string(c.types, ',') as types, c.state as mapping_state from (values ('payroll'), ('records'), ('legal'), ('contracts'), ('hiring'), ('idle')) a(aid) left join {_MACROS_SQL} on m.aid = a.aid left join {_CATS_SQL} on c.mid = m.mid")
+def register_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register as one table; an activity without categories stays."""
+    own = activities(spark)
+    idle = spark.createDataFrame([("idle",)], "id string")
+    flat = register.flat(own.select("id").unionByName(idle).distinct(), macros(spark), categories(spark))
+    return flat.select("activity_id", "macro_text", "category_text", F.array_join("pii_types", ",").alias("types"), "mapping_state")

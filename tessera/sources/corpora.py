@@ -23,11 +23,15 @@ PACKAGED = (
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one is an error that names it."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id() + 1).where("trim(value) <> ''")
-    wide = lines.select("n", "value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = wide.where("r is null or r._bad is not null or r.document_id is null").orderBy("n").first()
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select("value", place.alias("at"))
+    wide = lines.where("trim(value) <> ''").select("at", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = wide.where("r is null or r._bad is not null or r.document_id is null").agg(F.min("at").alias("at")).first().at
     if bad is not None:
-        raise ValueError(f"{path}, line {bad.n}: not a valid record")
+        # ids grow within a block of a file, and blocks by where they start; lines are counted only now
+        before = (F.col("at.block") < bad.block) | ((F.col("at.block") == bad.block) & (F.col("at.id") < bad.id))
+        n = lines.where((F.col("at.file") == bad.file) & before).count()
+        raise ValueError(f"{path}, line {n + 1}: not a valid record")
     return wide.select("r.*").drop("_bad")
 
 

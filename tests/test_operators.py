@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 from datetime import datetime
 
@@ -512,6 +513,47 @@ def test_corpora(spark, tmp_path):
     spark.range(1).select(annotate(F.lit("email"), F.lit("x")).alias("a")).first().a == "{{email:x}}"
 
 
+def test_malformed_lines_are_named_behind_the_first_split(spark, tmp_path):
+    lines = ["", *[f'{{"document_id": "{i}", "annotated": "x"}}' for i in range(40)]]
+    lines[33] = '{"document_id": '
+    lines[37] = "no record"
+    (tmp_path / "s.jsonl").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert spark.read.text(str(tmp_path / "s.jsonl")).rdd.getNumPartitions() > 2
+        with pytest.raises(ValueError, match="line 34:"):
+            corpora.load_sources(spark, str(tmp_path / "s.jsonl"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_spans_over_blocks_of_matches(spark):
+    from tessera.functions import text as tx
+
+    text = "".join("ab"[i % 3 == 0] * (i % 5 + 1) + " " * (i % 4) for i in range(3000))
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer("a+b?", text)]
+    got = spark.createDataFrame([(text,)], "t string").select(tx.spans("t", "a+b?").alias("s")).first().s
+    assert len(want) > 3 * tx.BLOCK and [tuple(s) for s in got] == want
+
+
+def test_scores_by_islands(spark):
+    """A long document of many spans, some touching, some nested, against the plain greedy rule over all pairs."""
+    rng = random.Random(5)
+    side = lambda: [(i, s, s + rng.randint(1, 9), rng.choice(["a", "b"])) for i, s in enumerate(sorted(rng.randint(0, 600) for _ in range(120)))]
+    d, g = side(), side()
+    pairs = sorted(((min(x[2], y[2]) - max(x[1], y[1])) / (max(x[2], y[2]) - min(x[1], y[1])), x[0], y[0]) for x in d for y in g if x[3] == y[3])
+    for ratio in (0.5, 0.1):
+        i, j = {}, set()
+        for v, x, y in reversed(pairs):
+            if v >= ratio and x not in i and y not in j:
+                i[x] = y
+                j.add(y)
+        want = {k: (sum(x[3] == k and x[0] in i for x in d), sum(x[3] == k and x[0] not in i for x in d), sum(y[3] == k and y[0] not in j for y in g)) for k in "ab"}
+        frame = lambda rows: spark.createDataFrame([("x", *r) for r in rows], "document_id string, ord int, start int, end int, pii_type string")
+        assert {r.pii_type: (r.tp, r.fp, r.fn) for r in score.span_counts(frame(d), frame(g), ratio).collect()} == want
+
+
 def test_stream(spark, tmp_path):
     from tessera.streaming import ingest
 
