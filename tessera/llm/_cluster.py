@@ -48,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """``cut``, and the shuffle files of the write go with its end, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``cut`` once nothing reads it any more."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cut-" in f}:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bloom, _text
-from ._cluster import cut
+from ._cluster import drop_cut, swept
 
 #: A run of WINDOW + K - 1 = 17 equal words has a common seed: a passage of MIN_WORDS with an edit in every third of it still has
 #: two or three.  Denser seeds find no more runs of MIN_WORDS words and cost shuffle in proportion to 2 / (WINDOW + 1).
@@ -307,11 +307,14 @@ def windows(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", "lo", "words").mapInArrow(run, "h long, doc_id long, pos int")
 
 
-def verbatim(df: DataFrame, held: DataFrame) -> DataFrame:
-    """Verbatim runs of MIN_WORDS words with the first document that has them, in the columns of ``chained``."""
-    own = windows(cut(slices(df, cut(stretches(held)))))
+def verbatim(df: DataFrame, held: DataFrame, within: DataFrame) -> DataFrame:
+    """Verbatim runs of MIN_WORDS words with the first document that has them, in the columns of ``chained``; not those ``within(d, start, end)``."""
+    ranges = swept(stretches(held))
+    parts = swept(slices(df, ranges))
+    drop_cut(ranges)
+    own = windows(parts)
     firsts = own.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
-    shared = cut(firsts.where("f.doc_id < last").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("src_pos")))
+    shared = swept(firsts.where("f.doc_id < last").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("src_pos")))
     pairs = own.join(shared, "h").where("doc_id <> src").groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,13 +335,17 @@ def verbatim(df: DataFrame, held: DataFrame) -> DataFrame:
     ints = pa.list_(pa.int32())
     schema = pa.schema([("doc_id", pa.int64()), ("a0", pa.int32()), ("a1", pa.int32()), ("src", pa.int64()), ("b0", pa.int32()), ("b1", pa.int32()), ("at", ints), ("bt", ints)])
     rows = pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))
-    return rows.mapInArrow(run, "doc_id long, a0 int, a1 int, src long, b0 int, b1 int, at array<int>, bt array<int>")
+    rows = rows.mapInArrow(run, "doc_id long, a0 int, a1 int, src long, b0 int, b1 int, at array<int>, bt array<int>")
+    out = swept(rows.join(within, F.expr(f"doc_id = d and start <= at[0] and end >= at[1] + {K}"), "left_anti"))
+    drop_cut(parts)
+    drop_cut(shared)
+    return out
 
 
 def passages(df: DataFrame, found: DataFrame) -> DataFrame:
     """The passages of the chains ``found``, with the columns of ``repeated``."""
     wanted = found.select("doc_id", F.col("a0").alias("lo"), F.col("a1").alias("hi")).unionByName(found.select(F.col("src").alias("doc_id"), F.col("b0").alias("lo"), F.col("b1").alias("hi")))
-    parts = cut(slices(df, wanted))
+    parts = swept(slices(df, wanted))
     a = parts.select("doc_id", F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.col("words").alias("aw"))
     b = parts.select(F.col("doc_id").alias("src"), F.col("lo").alias("b0"), F.col("hi").alias("b1"), F.col("words").alias("bw"))
     both = found.join(a, ["doc_id", "a0", "a1"]).join(b, ["src", "b0", "b1"]).select("doc_id", "src", "a0", "b0", "at", "bt", "aw", "bw")
@@ -354,7 +361,9 @@ def passages(df: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("src_doc_id", pa.int64()), ("src_start", pa.int32()), ("src_end", pa.int32()), ("equal_words", pa.int32())])
-    return both.mapInArrow(run, "doc_id long, start int, end int, src_doc_id long, src_start int, src_end int, equal_words int").distinct()
+    out = swept(both.mapInArrow(run, "doc_id long, start int, end int, src_doc_id long, src_start int, src_end int, equal_words int").distinct())
+    drop_cut(parts)
+    return out
 
 
 def repeated(df: DataFrame) -> DataFrame:
@@ -362,11 +371,16 @@ def repeated(df: DataFrame) -> DataFrame:
     own = seeds(df)
     firsts = own.where("opens").groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("src_pos"))
     # written first: the join then has a plain exchange on both sides, and a seed that very many places have can be split
-    shared = cut(firsts.where("src < last").select("h", "src", "src_pos"))
-    held = cut(own.select("h", "doc_id", "pos").join(shared, "h").drop("h"))
+    shared = swept(firsts.where("src < last").select("h", "src", "src_pos"))
+    held = swept(own.select("h", "doc_id", "pos").join(shared, "h").drop("h"))
+    drop_cut(shared)
     pairs = held.where("doc_id <> src").groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") >= MIN_SEEDS)
-    found = cut(chained(pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))))
-    out = cut(passages(df, found))
-    within = out.select(F.col("doc_id").alias("d"), "start", "end")
-    runs = cut(verbatim(df, held).join(within, F.expr(f"doc_id = d and start <= at[0] and end >= at[1] + {K}"), "left_anti"))
-    return out if runs.isEmpty() else out.unionByName(passages(df, runs)).distinct()
+    found = swept(chained(pairs.select("doc_id", "src", F.col("m.pos").alias("at"), F.col("m.src_pos").alias("bt"))))
+    out = passages(df, found)
+    drop_cut(found)
+    runs = verbatim(df, held, out.select(F.col("doc_id").alias("d"), "start", "end"))
+    drop_cut(held)
+    if not runs.isEmpty():
+        out = out.unionByName(passages(df, runs)).distinct()
+    drop_cut(runs)
+    return out

@@ -1,6 +1,8 @@
 """Each operator against brute force on small tables, and on the awkward rows."""
 
 import random
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -605,6 +607,26 @@ def test_passages_of_two_holders_behind_halves(spark):
     assert [(r.doc_id, r.src_doc_id, r.start, r.end, r.equal_words) for r in got] == [(4, 3, 30, 110, 80)]
 
 
+def test_passages_leave_no_shuffle_files(spark):
+    """What a written step has shuffled and what later steps don't read goes before the result is read."""
+    rng = random.Random(22)
+    p = words(rng, 80)
+    docs = spark.createDataFrame([(i, words(rng, 30) + " " + p + " " + words(rng, 30)) for i in range(20)], "doc_id long, text string")
+    local = [Path(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: {f for top in local for f in top.rglob("shuffle_*.data")}
+    cuts = lambda: set(shared.glob("cut-*"))
+    before, cuts_before = files(), cuts()
+    out = passages.repeated(docs)
+    for _ in range(50):
+        if len(left := files() - before) <= 8:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 8  # of the two filters
+    assert len(cuts() - cuts_before) <= 2
+    assert {r.doc_id for r in out.collect()} == set(range(1, 20))
+
+
 def test_aligned_keeps_the_core():
     """What lies beyond the anchors agrees too little for a passage; the words between them are one."""
     a = np.arange(170, dtype=np.uint32)
