@@ -148,7 +148,7 @@ def runs(same: np.ndarray) -> list[tuple[int, int, int]]:
         total += b - a
         while True:
             j = len(kept) - 1
-            while j >= 0 and kept[j][3] >= run[3]:
+            while j >= 0 and kept[j][3] > run[3]:  # of equals the one that starts first
                 j -= 1
             if j < 0 or kept[j][4] >= run[4]:
                 break
@@ -159,6 +159,11 @@ def runs(same: np.ndarray) -> list[tuple[int, int, int]]:
     return [r[:3] for r in kept]
 
 
+def best_run(same: np.ndarray) -> tuple[int, int, int] | None:
+    """Of ``runs`` the one with the highest score; the first of equals."""
+    return max(runs(same), key=lambda r: r[2] - PENALTY * (r[1] - r[0] - r[2]), default=None)
+
+
 def items(tests: DataFrame) -> DataFrame:
     """``item_id, item, tokens`` of every test item with tokens; ``item`` is a hash of its tokens."""
 

@@ -81,6 +81,24 @@ def test_best_run():
     assert decontam.best_run(np.zeros(4, bool)) is None
 
 
+def test_runs_of_equal_scores_as_brute_force():
+    """Ten equal tokens, five others and eleven: as good as the eleven alone, and the first."""
+
+    def brute(same, at=0):
+        score = lambda p, q: sum(1 if s else -decontam.PENALTY for s in same[p:q])
+        spans = [(score(p, q), -p, -q) for p in range(len(same)) if same[p] for q in range(p + 1, len(same) + 1) if same[q - 1]]
+        if not spans:
+            return []
+        _, p, q = max(spans)
+        return [*brute(same[:-p], at), (at - p, at - q, int(sum(same[-p:-q]))), *brute(same[-q:], at - q)]
+
+    assert decontam.runs(np.array([1] * 10 + [0] * 5 + [1] * 11, bool)) == [(0, 26, 21)]
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        same = rng.random(rng.integers(0, 22)) < 0.6
+        assert decontam.runs(same) == brute(same.tolist())
+
+
 def brute_chain(pos, other):
     """Best score of a chain by all predecessors."""
     idx = sorted(range(len(pos)), key=lambda i: (pos[i], other[i]))
